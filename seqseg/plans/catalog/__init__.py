@@ -10,6 +10,8 @@ from importlib import import_module
 
 MODULES = (
     "segments",
+    "vocabulary",
+    "resolution",
 )
 
 
