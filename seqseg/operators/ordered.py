@@ -40,13 +40,15 @@ def rank_rows(
     order: Sequence[Column | str],
     coarse: Sequence[Column],
     out: str = FRAME,
+    total: str | None = None,
 ) -> DataFrame:
     """Dense zero-based position of each row inside its key.
 
     ``coarse`` must not decrease along ``order`` (a minute of a timestamp, a prefix
     of a name). Rows are numbered inside ``(key, coarse)``; the counts of earlier
     coarse groups are added from a table with one row per group, so a key that holds
-    a third of the rows is still spread over many tasks.
+    a third of the rows is still spread over many tasks. ``total`` names an optional
+    column for the number of rows of the key, which that table knows anyway.
     """
     names = [f"_c{i}" for i in range(len(coarse))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(coarse, names)])
@@ -61,8 +63,10 @@ def rank_rows(
         tagged.groupBy(*keys, *names)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
     )
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
+    offsets = offsets.drop("_n")
     position = (F.col("_before") + F.col("_rn") - 1).cast("long")
     return (
         numbered.join(offsets, [*keys, *names])
@@ -131,6 +135,8 @@ def with_length(
     maps a name to an aggregate expression over the whole episode that is also its
     own merge (``max``, ``min``, ``max_by`` of a struct, ...).
     """
+    if "length" in frames.columns and per_episode is None and not values:
+        return frames
     tagged = frames.withColumn(BUCKET, bucket_of(F.col(order), rows))
     partial = [(F.max(order) + 1).cast("long").alias("length")]
     partial += [agg.alias(name) for name, agg in (values or {}).items()]
@@ -212,26 +218,27 @@ def link(
     order: str = FRAME,
     payload: Sequence[str] = (),
     rows: int = BUCKET_ROWS,
-    summary: DataFrame | None = None,
+    per_bucket: DataFrame | None = None,
 ) -> DataFrame:
     """Number sparse items of an episode and look up the following item.
 
     Adds ``_index`` (zero-based), ``_next`` (position of the next item, null for the
     last) and ``_next_<column>`` for each payload column. ``items`` may already carry
-    ``_bucket``; ``summary`` may supply extra per-bucket columns, which are returned.
+    ``_bucket``. ``per_bucket`` may supply the bucket rows (item count ``_n``, first item
+    ``_head``) when they come from the same exchange as the items; the episode maximum
+    of any further column in it is returned too.
     """
     if BUCKET not in items.columns:
         items = items.withColumn(BUCKET, bucket_of(F.col(order), rows))
-    head = F.struct(F.col(order), *[F.col(p) for p in payload])
+    head = link_head(order, payload)
     window = bucket_window(keys, order)
     local = items.withColumn("_rn", F.row_number().over(window)).withColumn(
         "_lead", F.lead(head).over(window)
     )
-    per_bucket = items.groupBy(*keys, BUCKET).agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by(head, F.col(order)).alias("_head")
-    )
-    if summary is not None:
-        per_bucket = summary.join(per_bucket, [*keys, BUCKET], "left")
+    if per_bucket is None:
+        per_bucket = items.groupBy(*keys, BUCKET).agg(
+            F.count(F.lit(1)).alias("_n"), F.min_by(head, F.col(order)).alias("_head")
+        )
     extra = [c for c in per_bucket.columns if c not in (*keys, BUCKET, "_n", "_head")]
     by_bucket = Window.partitionBy(*keys).orderBy(BUCKET)
     backwards = Window.partitionBy(*keys).orderBy(F.desc(BUCKET))
@@ -239,7 +246,7 @@ def link(
     bounds = per_bucket.select(
         *keys,
         BUCKET,
-        *extra,
+        *[F.max(c).over(Window.partitionBy(*keys)).alias(c) for c in extra],
         F.coalesce(F.sum("_n").over(by_bucket.rowsBetween(*prior)), F.lit(0)).alias("_base"),
         F.last("_head", ignorenulls=True).over(backwards.rowsBetween(*prior)).alias("_after"),
     )
@@ -254,6 +261,10 @@ def link(
     return out.drop("_rn", "_lead", "_base", "_after")
 
 
+def link_head(order: str, payload: Sequence[str]) -> Column:
+    return F.struct(F.col(order), *[F.col(p) for p in payload])
+
+
 def spine(
     episodes: DataFrame,
     length: str = "length",

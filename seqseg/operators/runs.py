@@ -16,6 +16,7 @@ from seqseg.operators.ordered import (
     bucket_window,
     halo,
     link,
+    link_head,
 )
 
 # Most segments of an episode that go into one nested row.
@@ -41,9 +42,15 @@ def runs(
     spread = halo(frames.select(*keys, order, label), before=1, order=order, rows=rows)
     marked = spread.withColumn("_previous", F.lag(label).over(window)).where("_own")
     is_start = (F.col(order) == 0) | ~F.col("_previous").eqNullSafe(F.col(label))
+    # Items and bucket rows come from one exchange: both read the same columns of it.
+    head = F.when(is_start, link_head(order, [label]))
+    per_bucket = marked.groupBy(*keys, BUCKET).agg(
+        (F.max(order) + 1).cast("long").alias("length"),
+        F.count(head).alias("_n"),
+        F.min_by(head, F.when(is_start, F.col(order))).alias("_head"),
+    )
     starts = marked.where(is_start).drop("_own")
-    reach = marked.groupBy(*keys, BUCKET).agg((F.max(order) + 1).alias("_reach"))
-    linked = link(starts, keys, order, payload=[label], rows=rows, summary=_total(reach, keys))
+    linked = link(starts, keys, order, payload=[label], rows=rows, per_bucket=per_bucket)
     out = linked.select(
         *keys,
         F.col("_index").alias("segment_index"),
@@ -57,15 +64,6 @@ def runs(
     return out if edges else out.drop(f"previous_{label}", f"next_{label}")
 
 
-def _total(reach: DataFrame, keys: Sequence[str]) -> DataFrame:
-    from pyspark.sql import Window
-
-    whole = Window.partitionBy(*keys)
-    return reach.select(
-        *keys, BUCKET, F.max("_reach").over(whole).cast("long").alias("length")
-    )
-
-
 def runs_without(
     frames: DataFrame,
     background: DataFrame | Sequence,

@@ -29,7 +29,16 @@ def ev_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
     )
     return rank_rows(
-        events, KEYS, ["ts", "event_id"], minute(F.col("ts"))
+        events, KEYS, ["ts", "event_id"], minute(F.col("ts")), total="length"
+    )
+
+
+def ev_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of frames per user; needs no positions."""
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(F.lit("events").alias("dataset"), F.col("user_id").alias("episode_index"))
+        .agg(F.count(F.lit(1)).alias("length"))
     )
 
 
@@ -46,7 +55,7 @@ def ev_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ev_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One probability per frame."""
     p = F.col("value") / (F.col("value") + F.lit(100.0))
-    return ev_frames(spark, sf_dir).select(*KEYS, FRAME, p.alias("p"))
+    return ev_frames(spark, sf_dir).select(*KEYS, FRAME, p.alias("p"), "length")
 
 
 def li_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ MODULES = (
     "segments",
     "vocabulary",
     "resolution",
+    "boundaries",
 )
 
 

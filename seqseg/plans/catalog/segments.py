@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqseg.functions import text as tx
 from seqseg.operators import runs as rn, vocab as vc
-from seqseg.operators.ordered import FRAME, KEYS, lengths
+from seqseg.operators.ordered import FRAME, KEYS
 from seqseg.plans import adapters as ad
 from seqseg.plans.catalog._sql import EV, LI, VOCAB, runs_cte, with_
 
@@ -99,7 +99,7 @@ def expand_segments(spark, sf):
     """Frames from segments; the dropped 'view' segments leave gaps, and every segment
     is drawn one frame longer so that neighbours overlap."""
     segments = _kept_segments(spark, sf).withColumn("end_frame", F.col("end_frame") + 1)
-    frames = rn.expand_segments(segments, lengths(ad.ev_frames(spark, sf)))
+    frames = rn.expand_segments(segments, ad.ev_lengths(spark, sf))
     return frames.select(E, FRAME, "action_text_id")
 
 
@@ -130,7 +130,7 @@ def episode_metadata(spark, sf):
     segments = _kept_segments(spark, sf).withColumn(
         "action_text_id", F.when(F.col("action_text_id") > 2, 3).otherwise(1).cast("long")
     )
-    frames = rn.expand_segments(segments, lengths(ad.ev_frames(spark, sf)))
+    frames = rn.expand_segments(segments, ad.ev_lengths(spark, sf))
     vocab = vc.union_vocab(ad.table(spark, sf, "events"), "event_type")
     fused = rn.segment_texts(rn.runs(frames, "action_text_id"), vocab)
     return fused.select(*SEG, "action_text_id", "english_action_text", "length")
@@ -157,7 +157,7 @@ def _task_text(spark, sf):
 def dataset_info(spark, sf):
     from seqseg.sinks.metadata import updated_info
 
-    return updated_info(lengths(ad.ev_frames(spark, sf)))
+    return updated_info(ad.ev_lengths(spark, sf))
 
 
 def cap_segments(spark, sf):

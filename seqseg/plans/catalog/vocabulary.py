@@ -91,9 +91,7 @@ def class_names(spark, sf):
 
 
 def background_ids(spark, sf):
-    return vc.background_ids(_names(spark, sf).join(
-        vc.union_vocab(ad.table(spark, sf, "events"), "event_type"), "name", "right"
-    ).select("name", "action_text_id").distinct())
+    return vc.background_ids(union_vocab(spark, sf))
 
 
 def task_text(spark, sf):

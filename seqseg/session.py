@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE picks join strategies and partition counts from measured sizes, which is why
 # no operator carries a broadcast() hint: a side is broadcast only when Spark has
@@ -37,15 +40,27 @@ def build_session(
     return builder.getOrCreate()
 
 
-def durable_dir(spark: SparkSession, fallback: str | None = None) -> str:
+def durable_dir(spark: SparkSession) -> str:
     """Shared folder for tables that cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``. ``fallback`` is used only
-    where that setting is absent, as in local tests.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
+    local tests, a private folder is made and remembered in the same setting.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if fallback:
-        return fallback
-    raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="seqseg-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and go on from the written copy.
+
+    For compact results (runs, peaks, segments) that several later steps read: each
+    would otherwise compute them again, and the plan would double at every step. The
+    copy outlives lost executors. Files stay until the folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = f"{durable_dir(spark).rstrip('/')}/seqseg/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
