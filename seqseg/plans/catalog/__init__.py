@@ -13,6 +13,10 @@ MODULES = (
     "vocabulary",
     "resolution",
     "boundaries",
+    "validation",
+    "sampling",
+    "scoring",
+    "analytics",
 )
 
 

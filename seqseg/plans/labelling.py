@@ -31,3 +31,31 @@ def episode_summary(
         .join(task_text.select(*keys, "task_text"), list(keys), "left")
         .withColumn("task_text", F.coalesce("task_text", F.lit("")))
     )
+
+
+def labelling_summary(
+    judged: DataFrame, segments: DataFrame, media: DataFrame, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """One row: episodes in, processed and skipped, segments, media outcomes.
+
+    ``judged`` carries the skip ``reason`` of every episode; segments and media count
+    for processed episodes only.
+    """
+    done = judged.where(F.col("reason").isNull()).select(*keys)
+    one = F.lit(1).alias("_one")
+    episodes = judged.agg(
+        one,
+        F.count(F.lit(1)).alias("n_episodes_input"),
+        F.count_if(F.col("reason").isNull()).alias("n_episodes_processed"),
+        F.count("reason").alias("n_episodes_skipped"),
+    )
+    total = segments.join(done, list(keys), "left_semi").agg(
+        one, F.coalesce(F.sum("n_segments"), F.lit(0).cast("long")).alias("n_segments_total")
+    )
+    outcomes = media.join(done, list(keys), "left_semi").agg(
+        one,
+        F.count_if(F.col("status") == "hardlink").alias("n_hardlink"),
+        F.count_if(F.col("status") == "symlink").alias("n_symlink"),
+        F.count_if(F.col("status") == "skipped").alias("n_skipped_media"),
+    )
+    return episodes.join(total, "_one").join(outcomes, "_one").drop("_one")
