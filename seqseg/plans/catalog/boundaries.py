@@ -161,6 +161,58 @@ prom AS (
   FROM sides s JOIN curve c ON c.episode_index = s.episode_index AND c.frame_index > s.l AND c.frame_index < s.r
   GROUP BY 1, 2, 3)"""
 
+
+
+def _greedy(source: str, distance: int, tie: str) -> str:
+    """Visit peaks from the highest down, one recursion step per kept peak."""
+    return f"""queue AS (
+  SELECT episode_index, list({{'k': peak, 'h': height}} ORDER BY height DESC, peak {tie}) AS rest FROM {source} GROUP BY 1),
+visit AS (
+  SELECT episode_index, rest, []::STRUCT(k BIGINT, h DOUBLE)[] AS kept FROM queue
+  UNION ALL
+  SELECT episode_index, [x for x in rest[2:] if abs(x.k - rest[1].k) >= {distance}], list_append(kept, rest[1])
+  FROM visit WHERE len(rest) > 0),
+kept AS (SELECT episode_index, x.k AS peak, x.h AS height
+  FROM (SELECT episode_index, unnest(kept) AS x FROM visit WHERE len(rest) = 0))"""
+
+
+def _merged(min_length: int) -> str:
+    """Merge the shortest segment into its shorter neighbour, one recursion step each."""
+    return f"""tiles AS (
+  SELECT e.episode_index, e.b AS s, coalesce(lead(e.b) OVER (PARTITION BY e.episode_index ORDER BY e.b), l.t)::BIGINT AS e
+  FROM edge e JOIN len l USING (episode_index)),
+st AS (
+  SELECT episode_index, list({{'s': s, 'e': e}} ORDER BY s) AS g FROM tiles GROUP BY 1
+  UNION ALL
+  SELECT episode_index, g[:lo - 1] || [{{'s': g[lo].s, 'e': g[lo + 1].e}}] || g[lo + 2:]
+  FROM (
+    SELECT episode_index, g, CASE WHEN i = 1 THEN 1 WHEN i = len(g) THEN i - 1
+        WHEN g[i - 1].e - g[i - 1].s <= g[i + 1].e - g[i + 1].s THEN i - 1 ELSE i END AS lo
+    FROM (SELECT episode_index, g, list_position([x.e - x.s for x in g], list_min([x.e - x.s for x in g])) AS i
+          FROM st WHERE len(g) > 1 AND list_min([x.e - x.s for x in g]) < {min_length}))),
+final AS (SELECT episode_index, g FROM st WHERE len(g) = 1 OR list_min([x.e - x.s for x in g]) >= {min_length})"""
+
+
+_FINAL = """SELECT episode_index, (i - 1)::BIGINT AS segment_index, g[i].s AS start_frame, g[i].e AS end_frame
+FROM (SELECT episode_index, g, unnest(range(1, len(g) + 1)) AS i FROM final)"""
+_NEAR = """near AS (SELECT *, lag(p) OVER w AS l, lead(p) OVER w AS r,
+    min(p) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS low
+  FROM curve WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)),
+loc AS (SELECT episode_index, frame_index::BIGINT AS peak, p AS height FROM near
+  WHERE p >= coalesce(l, -1) AND p >= coalesce(r, -1) AND (p > coalesce(l, -1) OR p > coalesce(r, -1)) AND p - low >= 0.15)"""
+_RAW = """curve AS (SELECT episode_index, frame_index, value / (value + 100.0::DOUBLE) AS p FROM ev)"""
+_UP = """n AS (SELECT episode_index, count(*)::BIGINT AS n, (count(*) * 8 + 5)::BIGINT AS k FROM ev GROUP BY 1),
+curve AS (
+  SELECT g.episode_index, g.j::BIGINT AS frame_index, e.value / (e.value + 100.0::DOUBLE) AS p
+  FROM (SELECT episode_index, n, k, unnest(range(k)) AS j FROM n) g
+  JOIN ev e ON e.episode_index = g.episode_index
+   AND e.frame_index = least(floor((g.j + 0.5::DOUBLE) * (g.n::DOUBLE / g.k::DOUBLE))::BIGINT, g.n - 1))"""
+
+
+def _recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
 ORACLES = {
     "frame_transitions": with_(EV)
     + """SELECT episode_index, frame_index::BIGINT AS frame_index,
@@ -177,15 +229,27 @@ FROM ev a LEFT JOIN ev b ON b.episode_index = a.episode_index AND b.value > 120
 GROUP BY 1, 2""",
     "plateau_peaks": with_(EV, _CURVE, _TOPS) + "SELECT episode_index, peak, height FROM tops",
     "peaks_threshold": with_(EV, _CURVE, _TOPS) + "SELECT episode_index, peak, height FROM tops WHERE height >= 0.5",
-    "local_peaks": with_(
+    "local_peaks": with_(EV, _CURVE, _NEAR) + "SELECT episode_index, peak, height FROM loc",
+    "local_peaks_kept": _recursive(EV, _CURVE, _NEAR, _greedy("loc", 3, "ASC"))
+    + "SELECT episode_index, peak, height FROM kept",
+    "peaks_full": _recursive(EV, _RAW, _TOPS, _PROMINENCE, _greedy("tops", 4, "DESC"))
+    + """SELECT k.episode_index, k.peak, round(k.height, 6) AS height
+FROM kept k JOIN prom p ON p.episode_index = k.episode_index AND p.peak = k.peak
+WHERE k.height >= 0.3 AND p.prominence >= 0.1""",
+    "segments_min_length": _recursive(EV, _CURVE, _TOPS, _SEGMENTS, _merged(5)) + _FINAL,
+    "segments_from_probs": _recursive(
         EV,
-        _CURVE,
-        """near AS (SELECT *, lag(p) OVER w AS l, lead(p) OVER w AS r,
-          min(p) OVER (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS low
-          FROM curve WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))""",
+        _UP,
+        _TOPS,
+        _PROMINENCE,
+        _greedy("tops", 3, "DESC"),
+        """len AS (SELECT episode_index, k AS t FROM n)""",
+        """edge AS (SELECT episode_index, 0::BIGINT AS b FROM len UNION
+          SELECT k.episode_index, k.peak FROM kept k JOIN prom p ON p.episode_index = k.episode_index AND p.peak = k.peak
+          WHERE k.height >= 0.5 AND p.prominence >= 0.1)""",
+        _merged(5),
     )
-    + """SELECT episode_index, frame_index::BIGINT AS peak, p AS height FROM near
-WHERE p >= coalesce(l, -1) AND p >= coalesce(r, -1) AND (p > coalesce(l, -1) OR p > coalesce(r, -1)) AND p - low >= 0.15""",
+    + _FINAL,
     "peak_prominence": with_(EV, _CURVE, _TOPS, _PROMINENCE)
     + "SELECT episode_index, peak, round(prominence, 6) + 0.0 AS prominence FROM prom",
     "boundary_segments": with_(EV, _CURVE, _TOPS, _SEGMENTS)
