@@ -59,3 +59,83 @@ def labelling_summary(
         F.count_if(F.col("status") == "skipped").alias("n_skipped_media"),
     )
     return episodes.join(total, "_one").join(outcomes, "_one").drop("_one")
+
+
+def label_segments(segments: DataFrame, labeler, columns: Sequence[str]) -> DataFrame:
+    """Attach ``text`` from a pluggable batch labeler.
+
+    ``labeler`` takes a pandas DataFrame (one Arrow batch) and returns one text per
+    row. A batch that fails is tried row by row; a row that fails, and any unusable
+    text, becomes ``unknown``.
+    """
+    import pandas as pd
+
+    from seqseg.functions.text import clean_label
+
+    kept = list(columns)
+
+    def call(batch: pd.DataFrame) -> list:
+        try:
+            texts = list(labeler(batch))
+            if len(texts) == len(batch):
+                return texts
+        except Exception:  # noqa: BLE001 - one bad segment must not stop the rest
+            pass
+        if len(batch) == 1:
+            return [None]
+        return [text for i in range(len(batch)) for text in call(batch.iloc[i : i + 1])]
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(text=[None if t is None else str(t) for t in call(batch)])
+
+    source = segments.select(*kept)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    return source.mapInPandas(run, f"{schema}, text string").withColumn("text", clean_label(F.col("text")))
+
+
+def relabel_dataset(
+    probs: DataFrame,
+    frames: DataFrame,
+    episodes: DataFrame,
+    tasks: DataFrame,
+    labeler,
+    target,
+    keys: Sequence[str] = KEYS,
+    **segmenting,
+) -> dict[str, DataFrame]:
+    """Boundary scores to a relabelled dataset.
+
+    ``labeler`` is a table of texts (``keys, segment_index, text``) or a function for
+    ``label_segments``. Returns segments, vocabulary, frames, nested episode metadata,
+    totals and the per-episode summary. The vocabulary numbers phrases in the order of
+    episodes and segments with one aggregation instead of a running dictionary.
+    """
+    from seqseg.operators import runs as rn, vocab as vc
+    from seqseg.operators.peaks import segments_from_probs
+    from seqseg.plans.tasks import resolve_task_text
+    from seqseg.session import settle
+    from seqseg.sinks.frames import relabel
+    from seqseg.sinks.metadata import updated_info
+
+    segments = segments_from_probs(probs, target, keys=keys, **segmenting)
+    if isinstance(labeler, DataFrame):
+        labelled = rn.align_texts(segments, labeler, keys)
+    else:
+        labelled = label_segments(segments, labeler, segments.columns)
+    labelled = settle(labelled)
+    vocab = settle(vc.first_seen(labelled, "text", keys))
+    with_ids = vc.apply_first_seen(labelled, vocab, "text")
+    sizes = labelled.groupBy(*keys).agg(F.max("length").alias("length"))
+    dense = settle(rn.expand_segments(with_ids, sizes, keys=keys))
+    fused = rn.segment_texts(rn.runs(dense, "action_text_id", keys), vocab)
+    nested = rn.nested_segments(fused, keys).join(sizes, list(keys))
+    task_text = resolve_task_text(episodes, tasks)
+    return {
+        "segments": with_ids,
+        "vocab": vocab.select("action_text_id", "name"),
+        "frames": relabel(frames, dense, "action_text_id", keys),
+        "episodes": nested,
+        "info": updated_info(sizes),
+        "summary": episode_summary(labelled, task_text, keys),
+    }

@@ -11,3 +11,68 @@ def updated_info(episodes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_episodes"),
         F.coalesce(F.sum("length"), F.lit(0).cast("long")).alias("total_frames"),
     ).withColumn("train", F.format_string("0:%d", F.col("total_episodes")))
+
+
+# Entries of a dictionary that go into one JSON object.
+PART_ENTRIES = 10_000
+
+
+def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON object per row; null fields are left out."""
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
+
+
+def dictionary_json(vocab: DataFrame) -> DataFrame:
+    """Dictionary as ``{"id": "name"}`` objects of bounded size.
+
+    Up to ``PART_ENTRIES`` classes give exactly one object.
+    """
+    part = F.floor(F.col("action_text_id") / F.lit(PART_ENTRIES)).alias("_part")
+    entries = F.array_sort(F.collect_list(F.struct("action_text_id", "name")))
+    as_map = F.map_from_entries(
+        F.transform(entries, lambda e: F.struct(e["action_text_id"].cast("string"), e["name"]))
+    )
+    return vocab.groupBy(part).agg(F.to_json(as_map).alias("value")).select("value")
+
+
+def episode_records(episodes: DataFrame, nested: DataFrame) -> DataFrame:
+    """Episode metadata with ``action_config`` and ``length`` replaced.
+
+    Unknown keys of the source record are kept. An episode with more segments than
+    fit one nested row is written as several records that differ in ``part``.
+    """
+    keys = ["dataset", "episode_index"]
+    known = F.from_json(F.to_json("record"), "map<string,variant>")
+    other = F.map_filter(known, lambda k, _: ~k.isin("action_config", "length", "part"))
+    joined = episodes.select(*keys, other.alias("_other")).join(nested, keys)
+    fresh = F.map_from_arrays(
+        F.array(F.lit("action_config"), F.lit("length"), F.lit("part")),
+        F.array(
+            F.to_variant_object("action_config"),
+            F.col("length").cast("variant"),
+            F.col("part").cast("variant"),
+        ),
+    )
+    fresh = F.map_filter(fresh, lambda k, v: (k != "part") | (F.col("part") > 0))
+    return joined.select(F.to_json(F.map_concat("_other", fresh)).alias("value"))
+
+
+def write_metadata(
+    root: str,
+    info: DataFrame,
+    tasks: DataFrame,
+    episodes: DataFrame,
+    vocab: DataFrame,
+    stats: DataFrame | None = None,
+    mode: str = "errorifexists",
+) -> None:
+    """All metadata of a dataset below ``root/meta``, one folder of text parts each.
+
+    ``episodes`` and ``stats`` hold finished JSON text in ``value``.
+    """
+    write_json_lines(info, f"{root}/meta/info.json", mode)
+    write_json_lines(tasks, f"{root}/meta/tasks.jsonl", mode)
+    episodes.write.mode(mode).text(f"{root}/meta/episodes.jsonl")
+    dictionary_json(vocab).write.mode(mode).text(f"{root}/meta/action_text.json")
+    if stats is not None:
+        stats.write.mode(mode).text(f"{root}/meta/episodes_stats.jsonl")
