@@ -28,13 +28,23 @@ SPECIAL_TOKENS = ("<|im_end|>", "<|endoftext|>", "<|im_start|>")
 UNKNOWN_LABEL = "unknown"
 BACKGROUND = "background"
 
-# Everything Python's str.strip() removes.
-_SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# Every character that counts as white space at the ends of a label.
+_SPACE = "".join(
+    [" ", *map(chr, range(0x09, 0x0E)), *map(chr, range(0x1C, 0x20)), chr(0x85), chr(0xA0), chr(0x1680)]
+    + [*map(chr, range(0x2000, 0x200B)), chr(0x2028), chr(0x2029), chr(0x202F), chr(0x205F), chr(0x3000)]
+)
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACE))
+
+
+def _without_prefix(text: Column, prefix: str) -> Column:
+    """Drop a leading ``prefix`` (any case) and the white space behind it."""
+    size = len(prefix)
+    starts = F.lower(F.substring(text, 1, size)) == prefix
+    return F.when(starts, strip(F.substring(text, size + 1, 2_147_483_647))).otherwise(text)
 
 
 def clean_label(text: Column) -> Column:
@@ -44,9 +54,8 @@ def clean_label(text: Column) -> Column:
     ``assistant:`` prefixes, then the special tokens.
     """
     out = strip(text.cast("string"))
-    out = strip(F.regexp_replace(out, r"^(?i)assistant\n", ""))
-    for _ in range(2):
-        out = strip(F.regexp_replace(out, r"^(?i)assistant:", ""))
+    for marker in ("assistant\n", "assistant:", "assistant:"):
+        out = _without_prefix(out, marker)
     for token in SPECIAL_TOKENS:
         out = F.replace(out, F.lit(token), F.lit(""))
     return F.coalesce(F.nullif(strip(out), F.lit("")), F.lit(UNKNOWN_LABEL))

@@ -34,6 +34,21 @@ def bucket_window(keys: Sequence[str], order: str = FRAME) -> WindowSpec:
     return Window.partitionBy(*keys, BUCKET).orderBy(order)
 
 
+# A key with more rows than this is split by the coarse order.
+HOT_ROWS = 1_000_000
+
+_LOWEST = {"string": "", "date": "0001-01-01", "timestamp": "0001-01-01", "timestamp_ntz": "0001-01-01"}
+
+
+def _no_null(value: Column, kind: str) -> Column:
+    """Nulls sort first, so they may share the group of the lowest value."""
+    lowest = _LOWEST.get(kind, "-Infinity" if kind in ("double", "float") else None)
+    if lowest is None:
+        bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(kind, 63)
+        return F.coalesce(value, F.lit(-(1 << bits)).cast(kind))
+    return F.coalesce(value, F.lit(lowest).cast(kind))
+
+
 def rank_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -41,38 +56,48 @@ def rank_rows(
     coarse: Sequence[Column],
     out: str = FRAME,
     total: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Dense zero-based position of each row inside its key.
 
     ``coarse`` must not decrease along ``order`` (a minute of a timestamp, a prefix
-    of a name). Rows are numbered inside ``(key, coarse)``; the counts of earlier
-    coarse groups are added from a table with one row per group, so a key that holds
-    a third of the rows is still spread over many tasks. ``total`` names an optional
-    column for the number of rows of the key, which that table knows anyway.
+    of a name). Keys with more than ``hot_rows`` rows are numbered inside
+    ``(key, coarse)`` and the counts of earlier coarse groups are added, so a key that
+    holds a third of the rows is still spread over many tasks. All other keys stay
+    one group. Without keys everything counts as hot. ``total`` names an optional
+    column for the number of rows of the key.
     """
     names = [f"_c{i}" for i in range(len(coarse))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(coarse, names)])
-    inner = Window.partitionBy(*keys, *names).orderBy(*order)
-    numbered = tagged.withColumn("_rn", F.row_number().over(inner))
+    kinds = {f.name: f.dataType.simpleString() for f in tagged.select(*names).schema}
+    filled = {n: _no_null(F.col(n), kinds[n]) for n in names}
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hot = sizes.where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+        # At most rows / hot_rows keys are hot, which bounds this broadcast.
+        tagged = tagged.join(F.broadcast(hot), list(keys), "left")
+        filled = {n: F.when(F.col("_hot"), c) for n, c in filled.items()}
+    tagged = tagged.withColumns(filled)
+    group = Window.partitionBy(*keys, *names)
+    numbered = tagged.withColumn("_rn", F.row_number().over(group.orderBy(*order)))
+    if total:
+        numbered = numbered.withColumn("_here", F.count(F.lit(1)).over(group))
     earlier = (
         Window.partitionBy(*keys)
         .orderBy(*names)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = (
-        tagged.groupBy(*keys, *names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    )
+    split = tagged.where("_hot") if keys else tagged
+    offsets = split.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
-    offsets = offsets.drop("_n")
-    position = (F.col("_before") + F.col("_rn") - 1).cast("long")
-    return (
-        numbered.join(offsets, [*keys, *names])
-        .withColumn(out, position)
-        .drop(*names, "_rn", "_before")
-    )
+        offsets = offsets.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    joined = numbered.join(offsets.drop("_n"), [*keys, *names], "left")
+    before = F.coalesce("_before", F.lit(0).cast("long"))
+    joined = joined.withColumn(out, (before + F.col("_rn") - 1).cast("long"))
+    if total:
+        joined = joined.withColumn(total, F.coalesce("_total", "_here"))
+    return joined.drop(*names, "_hot", "_rn", "_here", "_before", "_total")
 
 
 def halo(
@@ -226,7 +251,8 @@ def link(
     last) and ``_next_<column>`` for each payload column. ``items`` may already carry
     ``_bucket``. ``per_bucket`` may supply the bucket rows (item count ``_n``, first item
     ``_head``) when they come from the same exchange as the items; the episode maximum
-    of any further column in it is returned too.
+    of any further column in it is returned too. It may leave out episodes that fit
+    in one bucket.
     """
     if BUCKET not in items.columns:
         items = items.withColumn(BUCKET, bucket_of(F.col(order), rows))
@@ -247,13 +273,13 @@ def link(
         *keys,
         BUCKET,
         *[F.max(c).over(Window.partitionBy(*keys)).alias(c) for c in extra],
-        F.coalesce(F.sum("_n").over(by_bucket.rowsBetween(*prior)), F.lit(0)).alias("_base"),
+        F.sum("_n").over(by_bucket.rowsBetween(*prior)).alias("_base"),
         F.last("_head", ignorenulls=True).over(backwards.rowsBetween(*prior)).alias("_after"),
     )
     following = F.coalesce(F.col("_lead"), F.col("_after"))
     out = (
-        local.join(bounds, [*keys, BUCKET])
-        .withColumn("_index", (F.col("_base") + F.col("_rn") - 1).cast("long"))
+        local.join(bounds, [*keys, BUCKET], "left")
+        .withColumn("_index", (F.coalesce("_base", F.lit(0)) + F.col("_rn") - 1).cast("long"))
         .withColumn("_next", following[order])
     )
     for name in payload:

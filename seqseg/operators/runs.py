@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqseg.operators.ordered import (
     BUCKET,
@@ -42,22 +42,27 @@ def runs(
     spread = halo(frames.select(*keys, order, label), before=1, order=order, rows=rows)
     marked = spread.withColumn("_previous", F.lag(label).over(window)).where("_own")
     is_start = (F.col(order) == 0) | ~F.col("_previous").eqNullSafe(F.col(label))
-    # Items and bucket rows come from one exchange: both read the same columns of it.
+    # Only episodes that fill a bucket need rows of other buckets; for all others the
+    # window over the bucket has seen the whole episode.
+    last = F.max(order).over(Window.partitionBy(*keys, BUCKET))
+    marked = marked.withColumn("_reach", (last + 1).cast("long"))
+    marked = marked.withColumn("_long", (F.col(BUCKET) > 0) | (F.col("_reach") == rows))
     head = F.when(is_start, link_head(order, [label]))
-    per_bucket = marked.groupBy(*keys, BUCKET).agg(
-        (F.max(order) + 1).cast("long").alias("length"),
+    per_bucket = marked.where("_long").groupBy(*keys, BUCKET).agg(
+        F.max("_reach").alias("_length"),
         F.count(head).alias("_n"),
         F.min_by(head, F.when(is_start, F.col(order))).alias("_head"),
     )
     starts = marked.where(is_start).drop("_own")
     linked = link(starts, keys, order, payload=[label], rows=rows, per_bucket=per_bucket)
+    length = F.coalesce("_length", "_reach")
     out = linked.select(
         *keys,
         F.col("_index").alias("segment_index"),
         F.col(order).alias("start_frame"),
-        F.coalesce("_next", "length").cast("long").alias("end_frame"),
+        F.coalesce(F.col("_next"), length).cast("long").alias("end_frame"),
         F.col(label),
-        F.col("length"),
+        length.alias("length"),
         F.col("_previous").alias(f"previous_{label}"),
         F.col(f"_next_{label}").alias(f"next_{label}"),
     )
@@ -204,8 +209,6 @@ def cap_segments(
 
     Spark limits each group to ``cap`` rows before the exchange (WindowGroupLimit).
     """
-    from pyspark.sql import Window
-
     window = Window.partitionBy(*keys).orderBy(order)
     return (
         segments.withColumn("_rn", F.row_number().over(window))

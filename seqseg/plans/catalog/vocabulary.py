@@ -129,7 +129,8 @@ def clean_text(spark, sf):
         .when(F.col("lang") == "de", F.lit(" <|endoftext|>"))
         .otherwise(F.col("text"))
     )
-    return documents.select("doc_id", F.md5(tx.clean_label(marked)).alias("text_md5"), F.length(tx.clean_label(marked)).cast("long").alias("n"))
+    cleaned = documents.select("doc_id", tx.clean_label(marked).alias("text"))
+    return cleaned.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"))
 
 
 def chat_examples(spark, sf):

@@ -75,10 +75,11 @@ def test_with_length_and_neighbours(frames, rows):
     assert got == {i: (i - 4 if i >= 4 else None, i + 2 if i < 8 else None) for i in range(10)}
 
 
-def test_rank_rows_spreads_a_hot_key(spark):
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_rank_rows_spreads_a_hot_key(spark, hot_rows):
     rows = [(0 if i % 3 else i, i // 10, i) for i in range(300)]
     df = spark.createDataFrame(rows, "k bigint, minute bigint, i bigint").repartition(5)
-    ranked = od.rank_rows(df, ["k"], ["minute", "i"], [F.col("minute")], total="n")
+    ranked = od.rank_rows(df, ["k"], ["minute", "i"], [F.col("minute")], total="n", hot_rows=hot_rows)
     groups: dict = {}
     for k, _, i in rows:
         groups.setdefault(k, []).append(i)
@@ -86,6 +87,16 @@ def test_rank_rows_spreads_a_hot_key(spark):
     assert rows_of(ranked, "k", "i", "frame_index", "n") == expected
 
 
+def test_rank_rows_keeps_null_keys_and_null_order(spark):
+    rows = [(None, 3), (None, None), (1, 5), (1, None), (1, 2)]
+    df = spark.createDataFrame(rows, "k bigint, x bigint")
+    for hot_rows in (0, 100):
+        ranked = od.rank_rows(df, ["k"], ["x"], [F.col("x")], hot_rows=hot_rows)
+        got = {(r["k"], r["x"]): r["frame_index"] for r in ranked.where("k is not null").collect()}
+        assert got == {(1, None): 0, (1, 2): 1, (1, 5): 2}
+        assert ranked.count() == 5
+
+
 def test_partition_count_does_not_matter(spark, frames):
     rng = np.random.default_rng(5)
     table = frames({e: rng.integers(0, 3, size=50).tolist() for e in range(5)})
