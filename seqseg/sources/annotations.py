@@ -27,14 +27,14 @@ def read_label_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     A file is usable when it has no violation; the first one per file is returned with
     its reason. Frame numbers must be 0, 1, 2, ... in file order.
     """
-    cells = placed(
-        spark.read.schema("idx STRING, label STRING").option("header", "false").option("mode", "PERMISSIVE").csv(path)
-    )
-    trimmed = cells.select(
+    lines = placed(spark.read.text(path)).where(strip(F.col("value")) != "")
+    cells = F.from_csv("value", F.lit("idx STRING, label STRING"), {"mode": "PERMISSIVE"})
+    one_cell = ~F.regexp_replace("value", r'"[^"]*"', "").contains(",")
+    trimmed = lines.select(
         *PLACE,
-        strip(F.coalesce("idx", F.lit(""))).alias("idx"),
-        strip(F.coalesce("label", F.lit(""))).alias("label"),
-        F.col("label").isNull().alias("_short"),
+        strip(F.coalesce(cells["idx"], F.lit(""))).alias("idx"),
+        strip(F.coalesce(cells["label"], F.lit(""))).alias("label"),
+        one_cell.alias("_short"),
     ).where((F.col("idx") != "") | (F.col("label") != ""))
     rows = numbered(trimmed, "_line").withColumn("video_id", file_stem(F.col("_file")))
     expected = F.col("_line") - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def ordered_state_stream(
@@ -81,6 +81,9 @@ def ordered_state_stream(
             )
 
     columns = frames.select(key, ts, order, value).withWatermark(ts, delay)
-    return columns.groupBy(key).applyInPandasWithState(
+    emitted = columns.groupBy(key).applyInPandasWithState(
         step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
     )
+    # The stateful step hands on Arrow-backed rows, which an exchange right behind it
+    # cannot write; computing one column copies them to plain rows.
+    return emitted.withColumn(order, F.coalesce(order, F.lit(-1).cast("long")))
