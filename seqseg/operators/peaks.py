@@ -129,44 +129,52 @@ def _schema(df: DataFrame, columns: Sequence[str]) -> str:
 
 def prominences(
     curve: DataFrame,
+    value: str = "value",
     keys: Sequence[str] = KEYS,
     rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Height of each peak above the higher of its two side minima.
+    """All peaks with their height above the higher of the two side minima.
 
-    ``curve`` holds ``start_frame``, ``value`` (double), ``peak`` and ``is_peak`` for
-    every stretch of equal value. Each side is scanned up to the next *higher* value
-    or the end of the episode. Returns ``keys, peak, height, prominence``.
+    ``curve`` is the result of ``value_runs``. Each side of a peak is scanned up to
+    the next *higher* value or the end of the episode. The curve is read once; what is
+    kept of it are the peaks and the buckets' outlines. Returns
+    ``keys, peak, height, length, prominence``.
     """
-    schema = _schema(curve, keys)
-    local_schema = (
-        f"{schema}, {BUCKET} bigint, kind int, peak bigint, height double, low_left double, "
-        "low_right double, open_left boolean, open_right boolean"
-    )
-    first = map_sorted_groups(
-        curve.withColumn(BUCKET, bucket_of(F.col("start_frame"), rows)),
-        [*keys, BUCKET],
-        ["start_frame"],
-        _scan_bucket,
-        local_schema,
-        ["value", "peak", "is_peak"],
+    head = _schema(curve, keys)
+    lows = "low_left double, low_right double"
+    scanned = settle(
+        map_sorted_groups(
+            curve.select(
+                *keys,
+                "start_frame",
+                F.col(value).cast("double").alias("value"),
+                "peak",
+                "is_peak",
+                "length",
+                bucket_of(F.col("start_frame"), rows).alias(BUCKET),
+            ),
+            [*keys, BUCKET],
+            ["start_frame"],
+            _scan_bucket,
+            f"{head}, {BUCKET} bigint, kind int, peak bigint, height double, length bigint, {lows}, "
+            "open_left boolean, open_right boolean",
+            ["value", "peak", "is_peak", "length"],
+        )
     )
-    first = settle(first)
-    closed = first.where("kind = 0 and not open_left and not open_right")
-    outline = first.where("kind > 0 or open_left or open_right")
+    is_open = F.col("open_left") | F.col("open_right")
+    columns = ["peak", "height", "length", "low_left", "low_right"]
+    closed = scanned.where((F.col("kind") == 0) & ~is_open)
     finished = map_sorted_groups(
-        outline,
+        scanned.where((F.col("kind") > 0) | is_open),
         list(keys),
         [BUCKET, "kind", "peak"],
         _finish_open,
-        f"{schema}, peak bigint, height double, low_left double, low_right double",
-        [BUCKET, "kind", "peak", "height", "low_left", "low_right", "open_left", "open_right"],
-    )
-    columns = [*keys, "peak", "height", "low_left", "low_right"]
-    both = closed.select(*columns).unionByName(finished.select(*columns))
-    return both.select(
-        *keys, "peak", "height", (F.col("height") - F.greatest("low_left", "low_right")).alias("prominence")
+        f"{head}, peak bigint, height double, length bigint, {lows}",
+        [BUCKET, "kind", *columns, "open_left", "open_right"],
     )
+    both = closed.select(*keys, *columns).unionByName(finished.select(*keys, *columns))
+    side = F.greatest("low_left", "low_right")
+    return both.select(*keys, "peak", "height", "length", (F.col("height") - side).alias("prominence"))
 
 
 def _scan_bucket(group):
@@ -213,6 +221,7 @@ def _scan_bucket(group):
         "kind": np.repeat(np.arange(4, dtype=np.int32), sizes),
         "peak": np.concatenate([peak[p], np.arange(sizes[1]), np.arange(sizes[2]), [0]]).astype(np.int64),
         "height": np.concatenate([value[p], from_left, from_right, [value.min()]]),
+        "length": np.full(sum(sizes), group["length"][0]),
         "low_left": nan.copy(),
         "low_right": nan.copy(),
         "open_left": np.zeros(sum(sizes), dtype=bool),
@@ -276,6 +285,7 @@ def _finish_open(group):
     return {
         "peak": group["peak"][rows],
         "height": height[rows],
+        "length": group["length"][rows],
         "low_left": lows["left"][rows],
         "low_right": lows["right"][rows],
     }
@@ -293,24 +303,18 @@ def detect_peaks(
 ) -> DataFrame:
     """Boundary frames: plateau peaks, then distance, prominence and threshold.
 
-    The threshold may be applied early for prominence, because that test looks at
-    one peak at a time; the distance test has to see all peaks.
+    Prominence looks at one peak and the curve, so it is measured first, in the one
+    pass over the curve; the distance test sees all peaks.
     """
-    curve = settle(value_runs(frames, value, keys, order, rows))
-    tops = curve.where("is_peak").select(*keys, "peak", F.col(value).alias("height"), "length")
-    chosen = suppress_near(tops, max(1, min_distance), "later", keys, rows)
-    chosen = chosen.where(F.col("height") >= threshold)
+    curve = value_runs(frames, value, keys, order, rows)
     if prominence > 0:
-        relevant = F.col("is_peak") & (F.col(value) >= threshold)
-        measured = prominences(
-            curve.select(
-                *keys, "start_frame", F.col(value).cast("double").alias("value"), "peak", relevant.alias("is_peak")
-            ),
-            keys,
-            rows,
-        ).where(F.col("prominence") >= prominence)
-        chosen = chosen.join(measured.select(*keys, "peak"), [*keys, "peak"], "left_semi")
-    return chosen
+        tops = prominences(curve, value, keys, rows)
+    else:
+        height = F.col(value).alias("height")
+        tops = curve.where("is_peak").select(*keys, "peak", height, "length", F.lit(0.0).alias("prominence"))
+    chosen = suppress_near(tops, max(1, min_distance), "later", keys, rows)
+    passed = (F.col("height") >= threshold) & (F.col("prominence") >= prominence)
+    return chosen.where(passed).drop("prominence")
 
 
 def local_peaks(

@@ -80,8 +80,7 @@ def peaks_full(spark, sf):
 
 
 def peak_prominence(spark, sf):
-    curve = pk.value_runs(step_probs(spark, sf)).withColumnRenamed("p", "value")
-    found = pk.prominences(curve)
+    found = pk.prominences(pk.value_runs(step_probs(spark, sf)), "p")
     return found.select(E, "peak", r6(F.col("prominence")).alias("prominence"))
 
 

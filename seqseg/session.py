@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    # Recording the call site of every expression slows down building long plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
