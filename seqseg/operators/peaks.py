@@ -15,6 +15,7 @@ steps work on peaks or segments after these are cut into independent groups:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -132,6 +133,7 @@ def prominences(
     value: str = "value",
     keys: Sequence[str] = KEYS,
     rows: int = BUCKET_ROWS,
+    fan_in: int = 512,
 ) -> DataFrame:
     """All peaks with their height above the higher of the two side minima.
 
@@ -161,18 +163,32 @@ def prominences(
             ["value", "peak", "is_peak", "length"],
         )
     )
-    is_open = F.col("open_left") | F.col("open_right")
+    # Outlines of very long episodes are merged in groups before the last pass sees
+    # them, so that no task holds more than `fan_in` outlines times the levels.
     columns = ["peak", "height", "length", "low_left", "low_right"]
-    closed = scanned.where((F.col("kind") == 0) & ~is_open)
-    finished = map_sorted_groups(
-        scanned.where((F.col("kind") > 0) | is_open),
-        list(keys),
-        [BUCKET, "kind", "peak"],
-        _finish_open,
-        f"{head}, peak bigint, height double, length bigint, {lows}",
-        [BUCKET, "kind", *columns, "open_left", "open_right"],
-    )
-    both = closed.select(*keys, *columns).unionByName(finished.select(*keys, *columns))
+    results, level = [], scanned
+    top = scanned.agg(F.max(BUCKET)).first()[0] or 0
+    while True:
+        is_open = F.col("open_left") | F.col("open_right")
+        results.append(level.where((F.col("kind") == 0) & ~is_open).select(*keys, *columns))
+        outline = level.where((F.col("kind") > 0) | is_open).withColumn(
+            "_part", F.floor(F.col(BUCKET) / F.lit(fan_in)).cast("long")
+        )
+        last = top < fan_in
+        merged = map_sorted_groups(
+            outline,
+            [*keys, "_part"],
+            [BUCKET, "kind", "peak"],
+            partial(_merge_outlines, last=last),
+            f"{head}, _part bigint, kind int, peak bigint, height double, length bigint, {lows}, "
+            "open_left boolean, open_right boolean",
+            [BUCKET, "kind", *columns, "open_left", "open_right"],
+        ).withColumnRenamed("_part", BUCKET)
+        if last:
+            results.append(merged.select(*keys, *columns))
+            break
+        level, top = settle(merged), top // fan_in
+    both = reduce(DataFrame.unionByName, results)
     side = F.greatest("low_left", "low_right")
     return both.select(*keys, "peak", "height", "length", (F.col("height") - side).alias("prominence"))
 
@@ -235,21 +251,24 @@ def _scan_bucket(group):
     return out
 
 
-def _finish_open(group):
-    """Continue the open scans of one episode over the outlines of its buckets.
+def _merge_outlines(group, last: bool):
+    """Continue open scans over the outlines of consecutive buckets.
 
     Scans wait on a stack from high to low: a bucket ends the ones below its highest
-    value, so whatever it adds is lower than all that still wait.
+    value, so whatever it adds is lower than all that still wait. Scans that are open
+    at the end of the last pass have reached the end of the episode; before that they
+    are handed on together with the outline of the whole group.
     """
     import numpy as np
 
     bucket, kind, height = group["_bucket"], group["kind"], group["height"]
     is_open = {"left": group["open_left"].astype(bool), "right": group["open_right"].astype(bool)}
-    rows = np.flatnonzero((kind == 0) & (is_open["left"] | is_open["right"]))
-    if not len(rows):
+    rows = np.flatnonzero(kind == 0)
+    if last and not len(rows):
         return None
     before = {1: group["low_left"].astype(float), 2: group["low_right"].astype(float)}
     lows = {"left": before[1].copy(), "right": before[2].copy()}
+    still = {side: np.zeros(len(kind), dtype=bool) for side in lows}
     starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     blocks = list(zip(starts, np.append(starts[1:], len(bucket))))
 
@@ -278,17 +297,46 @@ def _finish_open(group):
             for i in added[np.argsort(-height[added], kind="stable")]:
                 stack.append([height[i], i, np.inf])
         while stack:
-            pop()
+            still[side][pop()] = not last
 
     walk(blocks, "right", 1)
     walk(blocks[::-1], "left", 2)
-    return {
+    out = {
+        "kind": kind[rows],
         "peak": group["peak"][rows],
         "height": height[rows],
         "length": group["length"][rows],
         "low_left": lows["left"][rows],
         "low_right": lows["right"][rows],
+        "open_left": still["left"][rows],
+        "open_right": still["right"][rows],
     }
+    if last:
+        return out
+
+    def outline(blocks, record_kind):
+        """Records of the whole group and the lowest value before each."""
+        found, best, lowest = [], -np.inf, np.inf
+        for a, b in blocks:
+            here = np.arange(a, b)
+            for i in here[kind[a:b] == record_kind]:
+                if height[i] > best:
+                    best = height[i]
+                    found.append((best, min(lowest, before[record_kind][i])))
+            lowest = min(lowest, height[here[kind[a:b] == 3][0]])
+        return found, lowest
+
+    from_left, lowest = outline(blocks, 1)
+    from_right, _ = outline(blocks[::-1], 2)
+    records = [(1, n, h, low, np.nan) for n, (h, low) in enumerate(from_left)]
+    records += [(2, n, h, np.nan, low) for n, (h, low) in enumerate(from_right)]
+    records.append((3, 0, lowest, np.nan, np.nan))
+    names = ("kind", "peak", "height", "low_left", "low_right")
+    added = {n: np.array(v) for n, v in zip(names, zip(*records))}
+    added["length"] = np.full(len(records), group["length"][0])
+    for side in ("open_left", "open_right"):
+        added[side] = np.zeros(len(records), dtype=bool)
+    return {n: np.concatenate([out[n], added[n].astype(out[n].dtype)]) for n in out}
 
 
 def detect_peaks(

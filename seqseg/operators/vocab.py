@@ -11,7 +11,7 @@ from seqseg.functions.text import BACKGROUND, strip
 from seqseg.operators.ordered import KEYS, bucket_of, rank_rows
 
 # Names are ranked inside groups that share this many leading characters.
-PREFIX = 8
+PREFIX = 4
 
 
 def union_vocab(names: DataFrame, column: str = "name") -> DataFrame:

@@ -78,7 +78,7 @@ def test_plateaus_and_prominence(frames, rows):
     assert rows_of(curve.where("is_peak"), "episode_index", "peak") == sorted(
         (e, p) for e, ps in tops.items() for p in ps
     )
-    found = pk.prominences(curve, "p", rows=rows)
+    found = pk.prominences(curve, "p", rows=rows, fan_in=3)
     got = {(r["episode_index"], r["peak"]): r["prominence"] for r in found.collect()}
     expected = {(e, p): height_over_sides(data[e], p) for e, ps in tops.items() for p in ps}
     assert got.keys() == expected.keys()
