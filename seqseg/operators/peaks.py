@@ -449,7 +449,9 @@ def merge_short(
 
     The shortest one goes first (leftmost of equals), into its shorter neighbour
     (left of equals). Groups between two adjacent long segments are independent;
-    groups without a short segment pass through untouched.
+    groups without a short segment pass through untouched. A group of any size streams
+    through its task: merging makes segments longer than the ones it started from, so
+    going from the shortest up is one left-to-right pass per length.
     """
     short = (F.col("end_frame") - F.col("start_frame") < min_length).cast("int")
     tagged = neighbours(
@@ -472,54 +474,90 @@ def merge_short(
     busy = carry(busy, {"_before": ("last", F.col("_cut"))}, keys, "segment_index", rows)
     busy = busy.withColumn("_group", F.coalesce("_cut", "_before", F.lit(-1).cast("long")))
 
-    def merge(group):
-        import heapq
-
-        start, end = group["start_frame"].copy(), group["end_frame"].copy()
-        n = len(start)
-        before = list(range(-1, n - 1))
-        after = [*range(1, n), -1]
-        alive = [True] * n
-        heap = [(end[i] - start[i], start[i], i) for i in range(n) if end[i] - start[i] < min_length]
-        heapq.heapify(heap)
-        left = n
-        while heap and left > 1:
-            length, first, i = heapq.heappop(heap)
-            if not alive[i] or (end[i] - start[i], start[i]) != (length, first):
-                continue
-            a, b = before[i], after[i]
-            if a < 0:
-                into = b
-            elif b < 0:
-                into = a
-            else:
-                into = a if end[a] - start[a] <= end[b] - start[b] else b
-            alive[i] = False
-            left -= 1
-            start[into], end[into] = min(start[into], start[i]), max(end[into], end[i])
-            if a >= 0:
-                after[a] = b
-            if b >= 0:
-                before[b] = a
-            if end[into] - start[into] < min_length:
-                heapq.heappush(heap, (end[into] - start[into], start[into], into))
-        keep = [i for i in range(n) if alive[i]]
-        return {"start_frame": start[keep], "end_frame": end[keep], "length": group["length"][keep]}
-
-    merged = map_sorted_groups(
-        busy,
-        [*keys, "_group"],
-        ["segment_index"],
-        merge,
-        f"{_schema(segments, keys)}, _group bigint, start_frame bigint, end_frame bigint, length bigint",
-        ["start_frame", "end_frame", "length"],
-    ).drop("_group")
+    merged = busy.select(*keys, "_group", "segment_index", "start_frame", "end_frame", "length")
+    merged = (
+        merged.repartition(*keys, "_group")
+        .sortWithinPartitions(*keys, "_group", "segment_index")
+        .mapInPandas(
+            partial(_merge_stream, keys=[*keys, "_group"], min_length=min_length),
+            f"{_schema(segments, keys)}, _group bigint, start_frame bigint, end_frame bigint, length bigint",
+        )
+        .drop("_group")
+    )
     whole = settle(idle.unionByName(merged))
     return link(whole, keys, "start_frame", rows=rows).select(
         *keys, F.col("_index").alias("segment_index"), "start_frame", "end_frame", "length"
     )
 
 
+class _LengthPass:
+    """Merge all segments of one length, left to right, holding two segments."""
+
+    __slots__ = ("size", "done", "open")
+
+    def __init__(self, size: int):
+        self.size, self.done, self.open = size, None, None
+
+    def push(self, segment: tuple):
+        """Take the next segment; return one that cannot change any more, if any."""
+        current, self.open = self.open, segment
+        if current is None:
+            return None
+        if current[1] - current[0] != self.size:
+            finished, self.done = self.done, current
+            return finished
+        left = self.done
+        if left is not None and left[1] - left[0] <= segment[1] - segment[0]:
+            self.done = (left[0], current[1])
+        else:
+            self.open = (current[0], segment[1])
+        return None
+
+    def drain(self) -> list:
+        left, current = self.done, self.open
+        self.done = self.open = None
+        if left is not None and current[1] - current[0] == self.size:
+            return [(left[0], current[1])]
+        return [x for x in (left, current) if x is not None]
+
+
+def _merge_stream(batches, keys, min_length):
+    """Merge short segments of sorted groups; state is two segments per length."""
+    import pandas as pd
+
+    passes = [_LengthPass(size) for size in range(1, min_length)]
+    group, total = None, 0
+
+    def feed(segment, first):
+        for level in range(first, len(passes)):
+            segment = passes[level].push(segment)
+            if segment is None:
+                return
+        out.append((*group, int(segment[0]), int(segment[1]), total))
+
+    def close():
+        for level in range(len(passes)):
+            for segment in passes[level].drain():
+                feed(segment, level + 1)
+
+    columns = [*keys, "start_frame", "end_frame", "length"]
+    out = []
+    for batch in batches:
+        for row in zip(*[batch[c].tolist() for c in columns]):
+            if row[: len(keys)] != group:
+                if group is not None:
+                    close()
+                group, total = row[: len(keys)], row[-1]
+            feed(row[-3:-1], 0)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    if group is not None:
+        close()
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
 def segments_from_probs(
     probs: DataFrame,
     target,

@@ -129,6 +129,27 @@ def test_minimum_length(spark, rows, min_length):
     assert rows_of(found, "episode_index", "segment_index", "start_frame", "end_frame") == sorted(expected)
 
 
+def test_minimum_length_over_small_batches(spark):
+    """Evenly short segments never meet a cut: one group that spans many batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sizes = {0: [3] * 100, 1: [1 + (i * 5) % 4 for i in range(90)], 2: [2]}
+        rows, expected = [], []
+        for e, parts in sizes.items():
+            edges = np.cumsum([0, *parts]).tolist()
+            tiles = list(zip(edges, edges[1:]))
+            rows += [("d", e, i, s, t, edges[-1]) for i, (s, t) in enumerate(tiles)]
+            expected += [(e, s, t) for s, t in merge(tiles, 9)]
+        table = spark.createDataFrame(
+            rows,
+            "dataset string, episode_index bigint, segment_index bigint, start_frame bigint, end_frame bigint, length bigint",
+        )
+        found = pk.merge_short(table, 9, rows=16)
+        assert rows_of(found, "episode_index", "start_frame", "end_frame") == sorted(expected)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+
+
 @pytest.mark.parametrize(
     "bounds, length, minimum, expected",
     [
