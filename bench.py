@@ -37,6 +37,20 @@ EXTRA = (
 )
 
 
+def shuffle_and_spill(spark) -> tuple[int, int]:
+    """Bytes written to shuffles and spilled to disk so far in this application."""
+    sc = spark.sparkContext
+    quantiles = sc._gateway.new_array(sc._jvm.double, 0)
+    empty = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(empty, False, False, quantiles, empty)
+    written = spilled = 0
+    for i in range(stages.size()):
+        stage = stages.apply(i)
+        written += stage.shuffleWriteBytes()
+        spilled += stage.diskBytesSpilled()
+    return written, spilled
+
+
 def main() -> None:
     from seqseg import build_session
     from seqseg.plans.catalog import all_queries
@@ -52,21 +66,25 @@ def main() -> None:
         {
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.ui.retainedStages": "100000",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
         },
     )
     spark.sparkContext.setLogLevel("OFF")
     queries = all_queries()
     queries["argmax_labels"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, shuffle_mb, spill_mb = {}, {}, {}
     for name in names:
         best = None
         for _ in range(repeats):
+            before = shuffle_and_spill(spark)
             start = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - start
             best = took if best is None else min(best, took)
+            after = shuffle_and_spill(spark)
         times[name] = round(best, 3)
+        shuffle_mb[name], spill_mb[name] = (round((b - a) / 2**20, 2) for a, b in zip(before, after))
     spark.stop()
     headline = [t for n, t in times.items() if n in HEADLINE]
     print(
@@ -76,6 +94,8 @@ def main() -> None:
                 "value": round(sum(headline), 3),
                 "unit": "sec",
                 "queries": times,
+                "shuffle_mb": shuffle_mb,
+                "spill_mb": spill_mb,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
             }
         )

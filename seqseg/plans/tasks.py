@@ -28,9 +28,11 @@ def resolve_task_text(
         ).drop("_kind", "_first")
     on = [c for c in ("dataset",) if c in tasks.columns]
 
+    # The first entry wins where a number is listed twice.
+    text = F.min_by("task", "place") if "place" in tasks.columns else F.min("task")
+
     def lookup(key: str, out: str) -> DataFrame:
-        # The first entry wins where a number is listed twice.
-        return tasks.groupBy(*on, F.col("task_index").alias(key)).agg(F.min("task").alias(out))
+        return tasks.groupBy(*on, F.col("task_index").alias(key)).agg(text.alias(out))
 
     return (
         named.withColumn("_id", F.when(is_number, F.col("_first").cast("long")))

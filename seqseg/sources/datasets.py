@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqseg.operators.ordered import FRAME
-from seqseg.sources.lines import files
+from seqseg.sources.lines import files, placed
 
 # Default path template and the media extensions.
 DATA_PATH = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"
@@ -66,11 +66,19 @@ def read_episodes(spark: SparkSession, root: str, dataset: str) -> DataFrame:
 
 
 def read_tasks(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    records = read_json_lines(spark, f"{root}/meta/tasks.jsonl")
-    return records.select(
+    """Task dictionary; ``place`` orders the lines, because the first entry of a number wins."""
+    schema = "dataset string, task_index bigint, task string, place struct<offset:bigint,seq:bigint>"
+    try:
+        lines = placed(spark.read.text(f"{root}/meta/tasks.jsonl")).where(F.trim("value") != "")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return lines.withColumn("record", F.parse_json("value")).select(
         F.lit(dataset).alias("dataset"),
         field("task_index", "bigint").alias("task_index"),
         F.coalesce(field("task", "string"), F.lit("")).alias("task"),
+        F.struct(F.col("_offset").alias("offset"), F.col("_seq").alias("seq")).alias("place"),
     )
 
 

@@ -25,7 +25,7 @@ def root(tmp_path_factory):
     for part in ("meta", "data/chunk-000", "videos/chunk-000/top", "videos/chunk-000/side"):
         (base / part).mkdir(parents=True)
     (base / "meta/info.json").write_text(json.dumps({"chunks_size": 1000, "fps": 30, "total_episodes": 3}, indent=4))
-    (base / "meta/tasks.jsonl").write_text('{"task_index": 2, "task": "b"}\n\n{"task_index": 5, "task": "e"}\n')
+    (base / "meta/tasks.jsonl").write_text('{"task_index": 2, "task": "b"}\n\n{"task_index": 5, "task": "e"}\n{"task_index": 2, "task": "a2"}\n')
     config = [{"start_frame": 0, "end_frame": 4, "english_action_text": "reach", "action_text_id": 1}]
     episodes = [
         {"episode_index": 0, "length": 4, "tasks": ["a"], "action_config": config, "extra": {"k": 1}},
@@ -237,7 +237,7 @@ def test_dataset_round_trip(spark, root, tmp_path):
     episodes = ds.read_episodes(spark, str(root), "robot")
     records = mt.episode_records(episodes, nested)
     info = mt.updated_info(nested.where("part = 0"))
-    mt.write_metadata(out, info, ds.read_tasks(spark, str(root), "robot").drop("dataset"), records, vocab)
+    mt.write_metadata(out, info, ds.read_tasks(spark, str(root), "robot").drop("dataset", "place"), records, vocab)
     again = ds.read_episodes(spark, out, "robot")
     got = {r["episode_index"]: r for r in again.collect()}
     assert set(got) == {0, 1} and got[0]["length"] == 4 and got[1]["length"] == 3
