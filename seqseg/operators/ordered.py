@@ -17,6 +17,7 @@ The frame position is dense and starts at zero (``rank_rows`` makes one).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -30,6 +31,15 @@ def bucket_of(position: Column, rows: int) -> Column:
     return F.floor(position / F.lit(rows)).cast("long")
 
 
+def placed_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows that have a key and a position (all rows, by contract).
+
+    Saying so lets both sides of a bucket join read one exchange: otherwise Spark adds
+    the null filter to one side only and the two no longer match.
+    """
+    return reduce(lambda d, c: d.where(F.col(c).isNotNull()), (*keys, order), df)
+
+
 def bucket_window(keys: Sequence[str], order: str = FRAME) -> WindowSpec:
     return Window.partitionBy(*keys, BUCKET).orderBy(order)
 
@@ -255,7 +265,7 @@ def link(
     in one bucket.
     """
     if BUCKET not in items.columns:
-        items = items.withColumn(BUCKET, bucket_of(F.col(order), rows))
+        items = placed_rows(items, keys, order).withColumn(BUCKET, bucket_of(F.col(order), rows))
     head = link_head(order, payload)
     window = bucket_window(keys, order)
     local = items.withColumn("_rn", F.row_number().over(window)).withColumn(

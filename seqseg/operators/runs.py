@@ -17,6 +17,7 @@ from seqseg.operators.ordered import (
     halo,
     link,
     link_head,
+    placed_rows,
 )
 
 # Most segments of an episode that go into one nested row.
@@ -39,7 +40,8 @@ def runs(
     and ``next_<label>``.
     """
     window = bucket_window(keys, order)
-    spread = halo(frames.select(*keys, order, label), before=1, order=order, rows=rows)
+    present = placed_rows(frames.select(*keys, order, label), keys, order)
+    spread = halo(present, before=1, order=order, rows=rows)
     marked = spread.withColumn("_previous", F.lag(label).over(window)).where("_own")
     is_start = (F.col(order) == 0) | ~F.col("_previous").eqNullSafe(F.col(label))
     # Only episodes that fill a bucket need rows of other buckets; for all others the

@@ -113,6 +113,22 @@ def test_windows_never_partition_by_the_episode_alone(spark):
         assert specs and all("_bucket" in s or "_c0" in s for s in specs)
 
 
+def test_runs_read_the_frames_once(spark):
+    """Segments and bucket rows come from one exchange of the frames."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = tree(rn.runs(ad.li_frames(spark, SF)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("ReusedExchange") >= 2
+    # Keys alone, keys and date of hot keys, and the rows themselves.
+    assert plan.count("Scan parquet") == 3
+
+
 def test_column_pruning_and_pushdown(spark):
     plan = physical(rn.runs(ad.ev_frames(spark, SF)).where("label = 'view'"))
     schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan)
