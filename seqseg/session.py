@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE picks join strategies and partition counts from measured sizes, which is why
-# no operator carries a broadcast() hint: a side is broadcast only when Spark has
-# measured that it fits under autoBroadcastJoinThreshold.
+# AQE picks join strategies and partition counts from measured sizes: a side is broadcast
+# only when Spark has measured that it fits under autoBroadcastJoinThreshold.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -45,16 +47,40 @@ def build_session(
 def durable_dir(spark: SparkSession) -> str:
     """Shared folder for tables that cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a private folder is made and remembered in the same setting.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session
+    (one machine, as in tests) gets a private folder that is used until it stops; a
+    session with executors elsewhere is refused, since they would not see the files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="seqseg-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set; with master {master} it must name a folder shared by all executors"
+            )
+        sc = spark.sparkContext
+        configured = sc._seqseg_dir = getattr(sc, "_seqseg_dir", None) or tempfile.mkdtemp(prefix="seqseg-")
     return configured
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Needed before any Python function of the package runs in a task: an executor imports it
+    by name and may be started anywhere.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_seqseg_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="seqseg-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._seqseg_shipped = True
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and go on from the written copy.
 
