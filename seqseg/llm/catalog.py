@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_rules",)
+MODULES = ("q_rules", "q_chat")
 
 
 def _collect(attribute: str) -> dict:
