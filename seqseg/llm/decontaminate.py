@@ -146,7 +146,7 @@ def _match(batches: Iterator[pa.RecordBatch], items: Items, schema: pa.Schema) -
             tos.append((y - starts[d]).tolist())
             names.append([items.ids[i] for i in np.unique(owner[a:b]).tolist()])
         yield pa.RecordBatch.from_arrays(
-            [part.column("id"), part.column("key"), pa.array(np.diff(starts)), *(pa.array(v, t.type) for v, t in zip((froms, tos, names), list(schema)[2:]))],
+            [part.column("id"), part.column("key"), pa.array(np.diff(starts)), *(pa.array(v, t.type) for v, t in zip((froms, tos, names), list(schema)[3:]))],
             schema=schema,
         )
 
