@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqseg.llm import secrets
+from seqseg.llm import pii, secrets
 
 
 def joined(spans: Column) -> Column:
@@ -29,5 +29,16 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_secret_scans": op3_secret_scans}
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[count_of(base, k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {"op6_pii": op6_pii, "op3_secret_scans": op3_secret_scans}
 ORACLES: dict[str, str] = {}
