@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqseg.llm.decontaminate import contamination, find_passages
+from seqseg.llm.repeats import remove_repeats
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +23,28 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-QUERIES = {"op9_benchmark_decontamination": op9_benchmark_decontamination}
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op9_benchmark_decontamination": op9_benchmark_decontamination}
 ORACLES = {
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50),
+w AS (SELECT p.doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS h FROM p JOIN d USING (doc_id)),
+later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM w) WHERE doc_id > low),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM later),
+k AS (
+  SELECT doc_id, word, k FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM d)
+  ANTI JOIN gone USING (doc_id, k)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM k GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
     "op9_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 b AS (SELECT item_id, {_WORDS} AS words FROM benchmark WHERE text IS NOT NULL),
