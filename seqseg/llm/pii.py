@@ -312,3 +312,29 @@ def find_pii(
     return source.mapInArrow(
         lambda batches: _scan(batches, model), f"id {source.schema['id'].dataType.simpleString()}, {_SPAN_TYPE}"
     ).withColumnRenamed("id", id_col)
+
+
+def masked(text: str, spans: list[dict]) -> str:
+    """The text with every span replaced by its kind; overlapping spans give one mark of the first."""
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
+        at = max(at, s["end"])
+    return "".join(out) + text[at:]
+
+
+def _mask(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, text_col):
+        at = part.schema.get_field_index(text_col)
+        texts = [t if t is None else masked(t, find_in(t, model)) for t in part.column(at).to_pylist()]
+        columns = list(part.columns)
+        columns[at] = pa.array(texts, part.schema.field(at).type)
+        yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+
+def mask_pii(docs: DataFrame, text_col: str = "text", model: Model | None = None, sample: int = 600) -> DataFrame:
+    """``docs`` with personal data in the text replaced by marks such as ``<EMAIL>``; null stays null."""
+    ship(docs.sparkSession)
+    model = model or train(sample_windows(docs, text_col, sample))
+    return docs.mapInArrow(lambda batches: _mask(batches, model, text_col), docs.schema)
