@@ -41,7 +41,7 @@ GRAM = 25
 
 
 def _grams(words: np.ndarray, starts: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hashes, the starts of all windows, and the leftmost place of the least gram of each."""
+    """Gram hashes, the starts of all windows, and the place of a least gram in each."""
     grams = window_hashes(words, gram)
     at = valid_windows(starts, depth)
     least = sliding_min(grams, depth - gram + 1)[at] if len(at) else np.zeros(0, np.uint64)
@@ -49,6 +49,11 @@ def _grams(words: np.ndarray, starts: np.ndarray, depth: int, gram: int) -> tupl
     for shift in range(depth - gram, -1, -1):
         hit = grams[at + shift] == least
         place[hit] = at[hit] + shift
+    # Of equal least grams (a word said again and again) neighbouring windows take the same one.
+    span = depth - gram + 1
+    even = -(-at // span) * span
+    tied = grams[even] == least if len(at) else np.zeros(0, bool)
+    place[tied] = even[tied]
     return grams, at, place
 
 
