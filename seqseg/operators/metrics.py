@@ -7,8 +7,9 @@ encoded in one pass; everything after that works on segments.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqseg.functions import vectors
 from seqseg.operators.ordered import (
@@ -16,7 +17,7 @@ from seqseg.operators.ordered import (
     FRAME,
     KEYS,
     bucket_of,
-    rank_rows,
+    one_row,
 )
 from seqseg.operators.runs import runs
 from seqseg.session import settle
@@ -27,6 +28,22 @@ CELL = 64
 STRING_PART = 4096
 
 
+def paired_frames(
+    pred: DataFrame, gt: DataFrame, keys: Sequence[str] = KEYS, order: str = FRAME
+) -> DataFrame:
+    """Predicted (``pred``) and true (``gt``) labels of the same frames.
+
+    A frame that only one side has (sequences of different length) fails the job.
+    """
+    on = [*keys, order]
+    left = pred.select(*on, "pred", F.lit(True).alias("_p"))
+    right = gt.select(*on, "gt", F.lit(True).alias("_g"))
+    both = left.join(right, on, "full")
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("prediction and truth differ in length:"), *[F.col(k).cast("string") for k in keys]))
+    missing = F.col("_p").isNull() | F.col("_g").isNull()
+    return both.withColumn("gt", F.when(missing, wrong).otherwise(F.col("gt"))).drop("_p", "_g")
+
+
 def frame_counts(
     frames: DataFrame, pred: str = "pred", gt: str = "gt", ignore=-100, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -78,17 +95,16 @@ def edit_scores(
 ) -> DataFrame:
     """Edit score of each episode: 100 - 100 * distance / longer sequence.
 
-    Every class becomes one character and the built-in Levenshtein distance compares
-    the strings. Strings are put together in two steps, so what is gathered per
+    Every class of an episode becomes one character (null is a class too) and the built-in
+    Levenshtein distance compares the strings. Strings are put together in two steps, so what is gathered per
     episode is one character per segment. The distance itself is quadratic in the
     number of segments of one episode, by definition.
     """
-    labels = segments.select("label").distinct()
-    named = F.col("label").cast("string")
-    symbols = rank_rows(
-        labels.withColumn("_name", named), [], ["_name"], [F.substring("_name", 1, 8)], out="_id"
-    ).select("label", symbol(F.col("_id")).alias("_symbol"))
-    marked = segments.join(symbols, "label").withColumn(
+    labels = segments.select(*keys, F.col("label").alias("_label")).distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_label")) - 1
+    symbols = labels.select(*[F.col(k).alias(f"_{k}") for k in keys], "_label", symbol(place).alias("_symbol"))
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.col("label").eqNullSafe(F.col("_label")))
+    marked = segments.join(symbols, same).withColumn(
         "_symbol", F.when(_foreground(background), F.col("_symbol")).otherwise(F.lit(""))
     )
     pieces = marked.groupBy(
@@ -115,13 +131,9 @@ def edit_scores(
 
 
 def symbol(index: Column) -> Column:
-    """One character per class number: printable ASCII first, then one Unicode plane."""
-    far = F.decode(F.unhex(F.hex(F.lit(0x4E00 - 94) + index)), "UTF-16BE")
-    return (
-        F.when(index < 94, F.char(F.lit(33) + index))
-        .when(index < 20_000, far)
-        .otherwise(F.raise_error(F.lit("more than 20000 classes")))
-    )
+    """One character per class number: printable ASCII first, then the planes above the first."""
+    far = F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000 - 94) + index), 8, "0")), "UTF-32")
+    return F.when(index < 94, F.char(F.lit(33) + index)).otherwise(far)
 
 
 def _joined(order: str, text: str, condition: Column | None = None) -> Column:
@@ -232,11 +244,9 @@ def segmentation_report(
     """
     segments = settle(paired_runs(frames, pred, gt, keys, order, rows))
     acc = frame_counts(frames, pred, gt, ignore).select(
-        F.lit(1).alias("_one"),
         (share(F.col("correct"), F.col("total")) * 100.0).alias("acc"),
     )
     edit = edit_scores(segments, background, keys).agg(
-        F.lit(1).alias("_one"),
         F.coalesce(F.avg("edit"), F.lit(0.0)).alias("edit"),
         F.count(F.lit(1)).cast("double").alias("num_videos"),
     )
@@ -246,8 +256,8 @@ def segmentation_report(
         for k in overlaps
         for c in ("tp", "fp", "fn")
     ]
-    totals = counts.agg(F.lit(1).alias("_one"), *sums)
-    out = acc.join(edit, "_one").join(totals, "_one")
+    totals = counts.agg(*sums)
+    out = one_row([acc, edit, totals])
     columns = []
     for k in overlaps:
         parts = precision_recall_f1(*[F.col(f"{c}_{k}") for c in ("tp", "fp", "fn")])

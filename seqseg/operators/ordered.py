@@ -44,9 +44,6 @@ def bucket_window(keys: Sequence[str], order: str = FRAME) -> WindowSpec:
     return Window.partitionBy(*keys, BUCKET).orderBy(order)
 
 
-# A key with more rows than this is split by the coarse order.
-HOT_ROWS = 1_000_000
-
 _LOWEST = {"string": "", "date": "0001-01-01", "timestamp": "0001-01-01", "timestamp_ntz": "0001-01-01"}
 
 
@@ -59,6 +56,14 @@ def _no_null(value: Column, kind: str) -> Column:
     return F.coalesce(value, F.lit(lowest).cast(kind))
 
 
+def time_hours(df: DataFrame, column: str) -> Column:
+    """Number of the hour a timestamp lies in; never decreases with the timestamp, in any time zone."""
+    ts = F.col(column)
+    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+        return F.unix_date(ts.cast("date")) * 24 + F.hour(ts)
+    return F.floor(F.unix_micros(ts) / F.lit(3_600_000_000)).cast("long")
+
+
 def rank_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,48 +71,63 @@ def rank_rows(
     coarse: Sequence[Column],
     out: str = FRAME,
     total: str | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Dense zero-based position of each row inside its key.
 
-    ``coarse`` must not decrease along ``order`` (a minute of a timestamp, a prefix
-    of a name). Keys with more than ``hot_rows`` rows are numbered inside
-    ``(key, coarse)`` and the counts of earlier coarse groups are added, so a key that
-    holds a third of the rows is still spread over many tasks. All other keys stay
-    one group. Without keys everything counts as hot. ``total`` names an optional
-    column for the number of rows of the key.
+    ``coarse`` must not decrease along ``order`` (the hour of a timestamp, a date, a
+    block of numbers). Rows are numbered inside ``(key, coarse)`` and the counts of
+    earlier coarse groups are added, for every key alike, so a key that holds a third
+    of the rows is spread over many tasks. ``total`` names an optional column for the
+    number of rows of the key. For one order over all rows see ``rank_all``.
     """
     names = [f"_c{i}" for i in range(len(coarse))]
-    tagged = df.select("*", *[c.alias(n) for c, n in zip(coarse, names)])
-    kinds = {f.name: f.dataType.simpleString() for f in tagged.select(*names).schema}
-    filled = {n: _no_null(F.col(n), kinds[n]) for n in names}
-    if keys:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        hot = sizes.where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-        # At most rows / hot_rows keys are hot, which bounds this broadcast.
-        tagged = tagged.join(F.broadcast(hot), list(keys), "left")
-        filled = {n: F.when(F.col("_hot"), c) for n, c in filled.items()}
-    tagged = tagged.withColumns(filled)
-    group = Window.partitionBy(*keys, *names)
+    filled = [f"_k{i}" for i in range(len(keys))]
+    # Nulls become values plus a mark, so that one plain exchange serves windows and join.
+    nulls = reduce(lambda a, k: a * 2 + F.isnull(k).cast("int"), keys, F.lit(0)).alias("_nulls")
+    sources = [*[F.col(k).alias(n) for k, n in zip(keys, filled)], *[c.alias(n) for c, n in zip(coarse, names)]]
+    tagged = df.select("*", *sources, nulls)
+    kinds = {f.name: f.dataType.simpleString() for f in tagged.select(*filled, *names).schema}
+    tagged = tagged.withColumns({n: _no_null(F.col(n), kind) for n, kind in kinds.items()})
+    whole, part = [*filled, "_nulls"], [*filled, "_nulls", *names]
+    group = Window.partitionBy(*part)
     numbered = tagged.withColumn("_rn", F.row_number().over(group.orderBy(*order)))
-    if total:
-        numbered = numbered.withColumn("_here", F.count(F.lit(1)).over(group))
     earlier = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*whole)
         .orderBy(*names)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    split = tagged.where("_hot") if keys else tagged
-    offsets = split.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = tagged.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     if total:
-        offsets = offsets.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-    joined = numbered.join(offsets.drop("_n"), [*keys, *names], "left")
-    before = F.coalesce("_before", F.lit(0).cast("long"))
-    joined = joined.withColumn(out, (before + F.col("_rn") - 1).cast("long"))
-    if total:
-        joined = joined.withColumn(total, F.coalesce("_total", "_here"))
-    return joined.drop(*names, "_hot", "_rn", "_here", "_before", "_total")
+        offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*whole)))
+    joined = numbered.join(offsets.drop("_n"), part)
+    joined = joined.withColumn(out, (F.col("_before") + F.col("_rn") - 1).cast("long"))
+    return joined.drop(*part, "_rn", "_before")
+
+
+def rank_all(df: DataFrame, order: Sequence[Column | str], out: str = FRAME) -> DataFrame:
+    """Dense zero-based position of each row in one order over the whole table.
+
+    The table is sorted by ranges that Spark takes from its values, so no prefix or name can
+    gather in one task; the written copy is read twice: for the size of each range (one
+    row per partition) and for the rows.
+    """
+    from seqseg.session import settle
+
+    place = F.monotonically_increasing_id()  # partition number, then row number in it
+    split = lambda c: (F.shiftright(c, 33).alias("_part"), c.bitwiseAND((1 << 33) - 1).alias("_row"))
+    placed = settle(df.orderBy(*order).select("*", place.alias("_place"))).select("*", *split(F.col("_place")))
+    sizes = placed.groupBy("_part").agg((F.max("_row") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = placed.join(starts, "_part").withColumn(out, (F.col("_before") + F.col("_row")).cast("long"))
+    return ranked.drop("_part", "_row", "_place", "_before")
+
+
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
+    """Columns of several one-row tables in one row: a union and one aggregate, no join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def halo(

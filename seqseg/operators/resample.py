@@ -183,17 +183,9 @@ def padded_windows(
 
 
 def mean_vectors(
-    vectors: DataFrame, values: str, width: int, by: Sequence[str], out: str = "values"
+    vectors: DataFrame, values: str, by: Sequence[str], out: str = "values"
 ) -> DataFrame:
-    """Element-wise mean of all vectors of a group.
-
-    Narrow vectors use one average per element in a single hash aggregate. Wide ones
-    go through (group, element) rows, so that the generated code stays small.
-    """
-    if width <= 256:
-        means = [F.avg(F.col(values)[i]).alias(f"_m{i}") for i in range(width)]
-        grouped = vectors.groupBy(*by).agg(*means)
-        return grouped.select(*by, F.array(*[f"_m{i}" for i in range(width)]).alias(out))
+    """Element-wise mean of all vectors of a group, through (group, element) rows."""
     elements = vectors.select(*by, F.posexplode(values).alias("_d", "_x"))
     means = elements.groupBy(*by, "_d").agg(F.avg("_x").alias("_x"))
     ordered = F.array_sort(F.collect_list(F.struct("_d", "_x")))

@@ -20,10 +20,6 @@ from seqseg.operators.ordered import (
     placed_rows,
 )
 
-# Most segments of an episode that go into one nested row.
-PART_SEGMENTS = 10_000
-
-
 def runs(
     frames: DataFrame,
     label: str = "label",
@@ -106,9 +102,10 @@ def segment_texts(
 
 
 def nested_segments(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Segments as an ``action_config`` array, in parts of bounded size.
+    """Segments as one ``action_config`` array per episode, the format of the metadata file.
 
-    ``part`` is 0 for every episode with up to ``PART_SEGMENTS`` segments.
+    The table of segments is the product to work with; this is its export, and an
+    episode is one record of it however many segments it has.
     """
     entry = F.struct(
         F.col("start_frame").cast("long").alias("start_frame"),
@@ -116,10 +113,8 @@ def nested_segments(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
         F.col("english_action_text"),
         F.col("action_text_id").cast("long").alias("action_text_id"),
     )
-    part = bucket_of(F.col("segment_index"), PART_SEGMENTS).alias("part")
-    return segments.groupBy(*keys, part).agg(
-        F.array_sort(F.collect_list(entry)).alias("action_config")
-    )
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("segment_index"), entry.alias("entry"))))
+    return segments.groupBy(*keys).agg(F.transform(ordered, lambda s: s["entry"]).alias("action_config"))
 
 
 def flatten_action_config(episodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -14,7 +14,7 @@ from seqseg.operators.ordered import (
     KEYS,
     bucket_of,
     bucket_range,
-    rank_rows,
+    rank_all,
 )
 
 
@@ -111,8 +111,7 @@ def padded_batches(
     mask, length``. ``pads`` gives the padding value of each value column. Frames and
     padding come as bucket pieces and meet in a union; a long episode is never one row.
     """
-    coarse = [F.col(k) for k in keys[:-1]] + [bucket_of(F.col(keys[-1]), 1024)]
-    ranked = rank_rows(episodes.select(*keys, "length"), [], list(keys), coarse, out="_rank")
+    ranked = rank_all(episodes.select(*keys, "length"), list(keys), "_rank")
     slots = ranked.select(
         *keys,
         "length",
@@ -145,7 +144,6 @@ def supervised_spans(
     examples: DataFrame,
     batch_size: int,
     order: Sequence[str],
-    coarse: Sequence[Column],
     ignore: int = -100,
     pad_token: int = 0,
     max_length: int | None = None,
@@ -160,7 +158,7 @@ def supervised_spans(
     sized = examples.withColumn("seq_len", F.size("input_ids")).withColumn(
         "prompt_len", F.least(F.col("prompt_len"), F.col("seq_len")).cast("int")
     )
-    ranked = rank_rows(sized, [], list(order), coarse, out="_rank").withColumn(
+    ranked = rank_all(sized, list(order), "_rank").withColumn(
         "batch_id", F.floor(F.col("_rank") / F.lit(batch_size)).cast("long")
     )
     longest = ranked.groupBy("batch_id").agg(F.max("seq_len").alias("_longest"))

@@ -67,9 +67,12 @@ def forcing_weights(
     """Locally weighted regression of the forcing term, one weight per basis function.
 
     ``demos`` has ``y, length, dt, y0, goal`` on each row. The phase has a closed form,
-    so all sums of an episode come from one aggregation with map-side combine.
+    so all sums of an episode come from one aggregation with map-side combine. A
+    demonstration of fewer than three frames fails the job.
     """
-    moved = derivatives(demos.where(F.col("length") >= 3), value, "dt", keys, order, rows)
+    short = F.raise_error(F.lit("a demonstration needs at least 3 frames"))
+    checked = demos.withColumn(value, F.when(F.col("length") >= 3, F.col(value)).otherwise(short))
+    moved = derivatives(checked, value, "dt", keys, order, rows)
     phase = F.pow(F.greatest(F.lit(1.0) - F.lit(alpha_x) * F.col("dt"), F.lit(0.0)), F.col(order))
     target = F.col("ddy") - F.lit(alpha_z) * (
         F.lit(beta_z) * (F.col("goal") - F.col(value)) - F.col("dy")

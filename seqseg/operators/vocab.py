@@ -8,11 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqseg.functions.text import BACKGROUND, strip
-from seqseg.operators.ordered import KEYS, bucket_of, rank_rows
-
-# Names are ranked inside groups that share this many leading characters.
-PREFIX = 4
-
+from seqseg.operators.ordered import KEYS, rank_all
 
 def union_vocab(names: DataFrame, column: str = "name") -> DataFrame:
     """One dictionary over all datasets: background is 0, the rest alphabetical from 1."""
@@ -21,9 +17,9 @@ def union_vocab(names: DataFrame, column: str = "name") -> DataFrame:
         .where(F.col(column).isNotNull() & (F.col(column) != BACKGROUND))
         .distinct()
     )
-    ranked = rank_rows(
-        distinct, [], ["name"], [F.substring("name", 1, PREFIX)], out="_position"
-    ).select("name", (F.col("_position") + 1).alias("action_text_id"))
+    ranked = rank_all(distinct, ["name"], "_position").select(
+        "name", (F.col("_position") + 1).alias("action_text_id")
+    )
     first = names.sparkSession.range(1).select(
         F.lit(BACKGROUND).alias("name"), F.lit(0).cast("long").alias("action_text_id")
     )
@@ -91,8 +87,7 @@ def first_seen(
         .agg(F.min("_first").alias("_first"))
         .select("key", "_first.*")
     )
-    coarse = [F.col(k) for k in keys[:-1]] + [bucket_of(F.col(keys[-1]), 1024)]
-    ranked = rank_rows(firsts, [], [*keys, "segment_index"], coarse, out="_position")
+    ranked = rank_all(firsts, [*keys, "segment_index"], "_position")
     ranked = ranked.select("key", "name", (F.col("_position") + 1).alias("action_text_id"))
     first = segments.sparkSession.range(1).select(
         F.lit(BACKGROUND).alias("key"),

@@ -6,10 +6,10 @@ user or order over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqseg.functions import vectors
-from seqseg.operators.ordered import FRAME, KEYS, rank_rows
+from seqseg.operators.ordered import FRAME, KEYS, rank_rows, time_hours
 
 EPISODE = ("episode_index",)
 
@@ -29,7 +29,7 @@ def ev_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
     )
     return rank_rows(
-        events, KEYS, ["ts", "event_id"], minute(F.col("ts")), total="length"
+        events, KEYS, ["ts", "event_id"], [time_hours(events, "ts")], total="length"
     )
 
 
@@ -42,12 +42,6 @@ def ev_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def minute(ts: Column) -> list[Column]:
-    """Calendar minute: a user with a third of all rows still spreads over every
-    minute of the period. Independent of the session time zone for plain timestamps."""
-    return [ts.cast("date"), F.hour(ts), F.minute(ts)]
-
-
 def ev_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev_rows(spark, sf_dir).drop("event_id", "ts")
 
@@ -93,13 +87,13 @@ def em_features(spark: SparkSession, sf_dir: str, stream_width: int = 32) -> Dat
 
 
 def em_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two score stages: values 1-10 and 11-20 of each vector."""
+    """Two score stages: the two halves of each vector."""
     base = em_features(spark, sf_dir)
     stages = F.array(
         *[
             F.struct(
                 F.lit(s).alias("stage"),
-                F.slice("embedding", 10 * s + 1, 10).alias("logits"),
+                F.slice("embedding", 32 * s + 1, 32).alias("logits"),
             )
             for s in range(2)
         ]

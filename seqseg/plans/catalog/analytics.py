@@ -56,7 +56,7 @@ def unrestricted_pairs(spark, sf):
 
 def grammar_missing(spark, sf):
     """Grammar names that no high-value event has."""
-    high = ad.table(spark, sf, "events").where("value >= 340").select(F.col("event_type").alias("name"))
+    high = ad.table(spark, sf, "events").where("event_type <> 'signup'").select(F.col("event_type").alias("name"))
     return gr.missing_names(_grammar(spark, sf), high.distinct())
 
 
@@ -93,7 +93,7 @@ def demo_derivatives(spark, sf):
 
 
 def _weights(spark, sf):
-    return tj.forcing_weights(_demos(spark, sf), keys=[*KEYS, "subtask"])
+    return tj.forcing_weights(_demos(spark, sf).where("length >= 3"), keys=[*KEYS, "subtask"])
 
 
 def demo_weights(spark, sf):
@@ -170,7 +170,7 @@ def label_changes(spark, sf):
     """Batch twin of the label-change stream, with the action lookup."""
     from seqseg.streaming.changes import attach_actions, label_changes_batch
 
-    high = ad.table(spark, sf, "events").where("value >= 340").select(F.col("event_type").alias("label"))
+    high = ad.table(spark, sf, "events").where("event_type <> 'signup'").select(F.col("event_type").alias("label"))
     actions = high.distinct().withColumn("action", F.concat(F.lit("do_"), F.col("label")))
     changes = label_changes_batch(ad.ev_frames(spark, sf).select(*KEYS, FRAME, "label"), KEYS)
     return attach_actions(changes, actions).select(E, FRAME, "label", "action")
@@ -248,7 +248,7 @@ ORACLES = {
 FROM (SELECT p.src, p.dst, EXISTS (SELECT 1 FROM ok WHERE ok.src = p.src AND ok.dst = p.dst) AS good FROM pairs p)""",
     "unrestricted_pairs": with_(VOCAB, _GRAMMAR) + "SELECT src, dst FROM pairs",
     "grammar_missing": """SELECT name FROM (SELECT event_type AS name FROM events UNION SELECT 'background')
-WHERE name NOT IN (SELECT event_type FROM events WHERE value >= 340)""",
+WHERE name NOT IN (SELECT event_type FROM events WHERE event_type <> 'signup')""",
     "transition_audit": with_(EV, VOCAB, _GRAMMAR, runs_cte("ev"))
     + """SELECT a.label AS src, b.label AS dst, count(*)::BIGINT AS n,
   EXISTS (SELECT 1 FROM ok WHERE ok.src = a.label AND ok.dst = b.label) AS allowed
@@ -293,7 +293,7 @@ FROM ep""",
   WHEN o_orderpriority > '3' THEN o_totalprice * 2 ELSE -1.0 END AS score FROM orders""",
     "label_changes": with_(EV)
     + """SELECT c.episode_index, c.frame_index::BIGINT AS frame_index, c.label,
-  CASE WHEN c.label IN (SELECT event_type FROM events WHERE value >= 340) THEN 'do_' || c.label ELSE '(no primitive)' END AS action
+  CASE WHEN c.label IN (SELECT event_type FROM events WHERE event_type <> 'signup') THEN 'do_' || c.label ELSE '(no primitive)' END AS action
 FROM (SELECT *, lag(label) OVER (PARTITION BY episode_index ORDER BY frame_index) AS before FROM ev) c
 WHERE c.label IS DISTINCT FROM c.before""",
     "rolling_clip": with_(EV)

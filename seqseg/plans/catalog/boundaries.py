@@ -25,7 +25,7 @@ def coarse_frames(spark, sf):
 
 def _boundaries(spark, sf, mode):
     frames = coarse_frames(spark, sf)
-    return tr.step_boundaries(frames, _steps(spark, sf), 4, mode)
+    return tr.step_boundaries(frames, _steps(spark, sf), 8, mode)
 
 
 def frame_transitions(spark, sf):
@@ -129,11 +129,11 @@ def _bound(inside: str) -> str:
   SELECT s.episode_index, s.step::BIGINT AS step,
     max(CASE WHEN c.moved AND {inside} THEN 1 ELSE 0 END) AS boundary
   FROM steps s JOIN (SELECT *, label <> lag(label) OVER (PARTITION BY episode_index ORDER BY frame_index) AS moved FROM co) c
-    ON c.episode_index = s.episode_index AND c.frame_index >= s.step * 4 AND c.frame_index < s.step * 4 + 4
+    ON c.episode_index = s.episode_index AND c.frame_index >= s.step * 8 AND c.frame_index < s.step * 8 + 8
   GROUP BY 1, 2)"""
 
 
-_CODE = _bound("c.frame_index > s.step * 4")
+_CODE = _bound("c.frame_index > s.step * 8")
 _CURVE = """curve AS (SELECT episode_index, frame_index, round(value / (value + 100.0::DOUBLE), 1) AS p FROM ev)"""
 _TOPS = """seg AS (
   SELECT *, sum(CASE WHEN p IS DISTINCT FROM before THEN 1 ELSE 0 END)

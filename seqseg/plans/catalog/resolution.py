@@ -78,7 +78,7 @@ def subvector_mean(spark, sf):
     features = ad.em_features(spark, sf).withColumn(
         "window_index", F.floor(F.col(FRAME) / F.lit(8)).cast("long")
     )
-    found = rs.mean_vectors(features, "rgb", 32, [E, "window_index"])
+    found = rs.mean_vectors(features, "embedding", [E, "window_index"])
     return found.select(E, "window_index", F.posexplode("values").alias("dim", "x")).select(
         E, "window_index", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("x")
     )
@@ -106,7 +106,7 @@ def normalised(spark, sf):
 
 
 def frame_delta(spark, sf):
-    moved = rs.frame_delta(ad.em_features(spark, sf).select(*KEYS, FRAME, "rgb"), "rgb", 0.25)
+    moved = rs.frame_delta(ad.em_features(spark, sf).select(*KEYS, FRAME, "embedding"), "embedding", 0.25)
     return moved.select(E, FRAME, F.posexplode("delta").alias("dim", "x")).select(
         E, FRAME, F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("x")
     )
@@ -193,8 +193,8 @@ GROUP BY 1, 2""",
     + """SELECT s.episode_index, s.window_index::BIGINT AS window_index, round(sum(e.value) / count(*), 6) AS mean_value,
   count(*)::BIGINT AS n_rows, max(e.value) AS max_value
 FROM slot s JOIN ev e USING (episode_index, frame_index) GROUP BY 1, 2""",
-    "subvector_mean": with_(EM, "parts AS (SELECT episode_index, frame_index // 8 AS window_index, unnest(range(32)) AS dim, rgb FROM em)")
-    + """SELECT episode_index, window_index::BIGINT AS window_index, dim::BIGINT AS dim, round(avg(rgb[dim + 1]), 6) + 0.0 AS x
+    "subvector_mean": with_(EM, "parts AS (SELECT episode_index, frame_index // 8 AS window_index, unnest(range(64)) AS dim, embedding FROM em)")
+    + """SELECT episode_index, window_index::BIGINT AS window_index, dim::BIGINT AS dim, round(avg(embedding[dim + 1]), 6) + 0.0 AS x
 FROM parts GROUP BY 1, 2, 3""",
     "normalised": with_(EM, "parts AS (SELECT episode_index, frame_index, unnest(range(32)) AS dim, rgb, flow FROM em)")
     + """SELECT episode_index, frame_index::BIGINT AS frame_index, dim::BIGINT AS dim,
@@ -204,7 +204,7 @@ FROM parts GROUP BY 1, 2, 3""",
 FROM parts""",
     "frame_delta": with_(
         EM,
-        """pairs AS (SELECT a.episode_index, a.frame_index, a.rgb AS now, b.rgb AS later, unnest(range(32)) AS dim
+        """pairs AS (SELECT a.episode_index, a.frame_index, a.embedding AS now, b.embedding AS later, unnest(range(64)) AS dim
           FROM em a JOIN em b ON b.episode_index = a.episode_index AND b.frame_index = a.frame_index + 1)""",
     )
     + """SELECT episode_index, frame_index::BIGINT AS frame_index, dim::BIGINT AS dim,

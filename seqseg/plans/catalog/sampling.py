@@ -70,8 +70,7 @@ def span_mask(spark, sf):
         F.concat(words("prompt"), words("text")).alias("input_ids"),
         F.size(F.split("prompt", " ")).alias("prompt_len"),
     )
-    coarse = [F.floor(F.col(E) / F.lit(64)).cast("long")]
-    found = sp.supervised_spans(examples, 4, [E, FRAME], coarse)
+    found = sp.supervised_spans(examples, 4, [E, FRAME])
     flat = found.select(
         E, FRAME, "batch_id", F.posexplode(F.arrays_zip("input_ids", "labels", "attention_mask")).alias("pos", "t")
     )

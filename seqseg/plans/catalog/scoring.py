@@ -20,7 +20,7 @@ def ev_pred(spark, sf):
     """Truth and stand-in prediction on the same frames."""
     pred = predicted(spark, sf).select(*KEYS, FRAME, F.col("label").alias("pred"))
     truth = ad.ev_frames(spark, sf).select(*KEYS, FRAME, F.col("label").alias("gt"))
-    return truth.join(pred, [*KEYS, FRAME])
+    return mt.paired_frames(pred, truth)
 
 
 def frame_accuracy(spark, sf):
@@ -55,7 +55,7 @@ def argmax_labels(spark, sf):
     return found.select(E, FRAME, F.col("stage").cast("long").alias("stage"), "pred", "label")
 
 
-def _banded(n: int = 10) -> list[list[float]]:
+def _banded(n: int = 32) -> list[list[float]]:
     """Classes may persist or move to a neighbour; everything else is forbidden."""
     return [[0.0 if abs(i - j) <= 1 else 1.0 for j in range(n)] for i in range(n)]
 
@@ -190,10 +190,10 @@ def _segmentation(keep: str) -> tuple[str, ...]:
 
 
 _EM_LOGITS = """lg AS (
-  SELECT episode_index, frame_index, label, s AS stage, embedding[10 * s + 1 : 10 * s + 10] AS z
+  SELECT episode_index, frame_index, label, s AS stage, embedding[32 * s + 1 : 32 * s + 32] AS z
   FROM em, (SELECT unnest(range(2)) AS s)),
 lp AS (SELECT *, [x - list_max(z) - ln(list_sum([exp(y - list_max(z)) for y in z])) for x in z] AS logp FROM lg),
-pairs AS (SELECT a.stage, a.logp AS now, b.logp AS later, unnest(range(1, 11)) AS c
+pairs AS (SELECT a.stage, a.logp AS now, b.logp AS later, unnest(range(1, 33)) AS c
   FROM lp a JOIN lp b ON b.episode_index = a.episode_index AND b.stage = a.stage AND b.frame_index = a.frame_index + 1)"""
 _CE = "ce AS (SELECT stage, avg(-logp[label + 1]) AS ce FROM lp GROUP BY 1)"
 
@@ -202,8 +202,8 @@ def _tmse(tau: float) -> str:
     return f"tmse AS (SELECT stage, sum(pow(least(abs(later[c] - now[c]), {tau}::DOUBLE), 2)) / count(*) AS tmse FROM pairs GROUP BY 1)"
 
 
-_TRANS = """cells AS (SELECT *, unnest(range(1, 11)) AS d FROM pairs),
-trans AS (SELECT stage, sum(exp(now[c]) * exp(later[d])) FILTER (abs(c - d) > 1) / (count(*) / 100) AS trans FROM cells GROUP BY 1)"""
+_TRANS = """cells AS (SELECT *, unnest(range(1, 33)) AS d FROM pairs),
+trans AS (SELECT stage, sum(exp(now[c]) * exp(later[d])) FILTER (abs(c - d) > 1) / (count(*) / 1024) AS trans FROM cells GROUP BY 1)"""
 _BOUND = """bs AS (SELECT episode_index, frame_index, ln(value) - 3.0 AS z, least(value / 200, 1.0) AS y, label <> 'error' AS ok FROM ev),
 bce AS (SELECT episode_index, sum(l) AS s, count(*) AS n FROM (
   SELECT episode_index, (1 - y) * z + (1 + 9 * y) * (ln(1 + exp(-abs(z))) + greatest(-z, 0)) AS l FROM bs WHERE ok) GROUP BY 1),

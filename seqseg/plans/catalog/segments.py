@@ -24,7 +24,7 @@ def _ev_vocab(spark, sf):
 
 def _ev_dictionary(spark, sf):
     """Names of event types that occur with a value of at least 340; others have none."""
-    high = ad.table(spark, sf, "events").where("value >= 340").select(F.col("event_type").alias("name"))
+    high = ad.table(spark, sf, "events").where("event_type <> 'signup'").select(F.col("event_type").alias("name"))
     return _ev_vocab(spark, sf).join(high.distinct(), "name", "left_semi")
 
 
@@ -59,7 +59,7 @@ def runs_orders(spark, sf):
 
 def action_config_events(spark, sf):
     nested = rn.nested_segments(_ev_config(spark, sf))
-    return nested.select(E, "part", F.inline("action_config"))
+    return nested.select(E, F.inline("action_config"))
 
 
 def runs_no_background(spark, sf):
@@ -142,7 +142,7 @@ def episode_summary(spark, sf):
     aligned = rn.align_texts(_ev_runs(spark, sf), _texts(spark, sf))
     summary = summarise(aligned, _task_text(spark, sf))
     joined = F.array_join("subtask_texts", "|")
-    return summary.select(E, "part", "n_segments", "n_frames", "task_text", joined.alias("subtask_texts"))
+    return summary.select(E, "n_segments", "n_frames", "task_text", joined.alias("subtask_texts"))
 
 
 def _task_text(spark, sf):
@@ -155,9 +155,9 @@ def _task_text(spark, sf):
 
 
 def dataset_info(spark, sf):
-    from seqseg.sinks.metadata import updated_info
+    from seqseg.sinks.metadata import dataset_totals
 
-    return updated_info(ad.ev_lengths(spark, sf))
+    return dataset_totals(ad.ev_lengths(spark, sf))
 
 
 def cap_segments(spark, sf):
@@ -211,7 +211,7 @@ QUERIES = {
 
 _IDS = """ids AS (SELECT r.*, v.id AS action_text_id FROM runs r JOIN vocab v ON v.name = r.label)"""
 _DICT = """dict AS (SELECT v.id, v.name FROM vocab v WHERE EXISTS (
-  SELECT 1 FROM events e WHERE e.event_type = v.name AND e.value >= 340))"""
+  SELECT 1 FROM events e WHERE e.event_type = v.name AND e.event_type <> 'signup'))"""
 _CONFIG = """config AS (
   SELECT i.episode_index, i.segment_index, i.start_frame, i.end_frame, i.action_text_id,
          coalesce(d.name, 'class_' || i.action_text_id) AS english_action_text
@@ -258,7 +258,7 @@ ORACLES = {
     )
     + "SELECT episode_index, segment_index, start_frame, end_frame, label FROM runs",
     "action_config_events": with_(*_BASE, _DICT, _CONFIG)
-    + """SELECT episode_index, 0::BIGINT AS part, start_frame, end_frame, english_action_text, action_text_id
+    + """SELECT episode_index, start_frame, end_frame, english_action_text, action_text_id
 FROM config""",
     "runs_no_background": with_(EV, runs_cte("ev"))
     + "SELECT episode_index, start_frame, end_frame, label FROM runs WHERE label <> 'view'",
@@ -291,7 +291,7 @@ WHERE episode_index NOT IN (SELECT episode_index FROM given)""",
        v.name AS english_action_text, l.length
 FROM fused f JOIN vocab v ON v.id = f.label JOIN len l USING (episode_index)""",
     "episode_summary": with_(EV, runs_cte("ev"), _TEXTS, _ALIGNED)
-    + """SELECT a.episode_index, 0::BIGINT AS part, count(*)::BIGINT AS n_segments,
+    + """SELECT a.episode_index, count(*)::BIGINT AS n_segments,
        max(a.end_frame)::BIGINT AS n_frames, coalesce(any_value(c.c_mktsegment), '') AS task_text,
        string_agg(a.text, '|' ORDER BY a.segment_index) AS subtask_texts
 FROM aligned a LEFT JOIN customer c ON c.c_custkey = a.episode_index GROUP BY 1""",

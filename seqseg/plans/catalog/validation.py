@@ -34,7 +34,7 @@ def shape_violations(spark, sf):
 
 
 def unknown_labels(spark, sf):
-    high = ad.table(spark, sf, "events").where("value >= 340").select(F.col("event_type").alias("name"))
+    high = ad.table(spark, sf, "events").where("event_type <> 'signup'").select(F.col("event_type").alias("name"))
     return va_unknown(spark, sf, high)
 
 
@@ -205,7 +205,7 @@ FROM held WHERE found <> position QUALIFY row_number() OVER (PARTITION BY episod
   (CASE WHEN label = 3 THEN 31 ELSE 32 END)::BIGINT AS rgb_size, (CASE WHEN label > 6 THEN 30 ELSE 32 END)::BIGINT AS flow_size,
   CASE WHEN label = 3 THEN 'rgb_width' ELSE 'flow_shape' END AS reason FROM em WHERE label = 3 OR label > 6""",
     "unknown_labels": """SELECT event_type AS label, count(*)::BIGINT AS n_frames FROM events
-WHERE event_type NOT IN (SELECT event_type FROM events WHERE value >= 340) GROUP BY 1""",
+WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_type <> 'signup') GROUP BY 1""",
     "aligned_streams": with_(EV, EM)
     + """SELECT c.conv_id AS episode_index, c.turn::BIGINT AS frame_index, c.role, m.label AS vector_label, e.label
 FROM conversations c JOIN em m ON m.episode_index = c.conv_id AND m.frame_index = c.turn

@@ -30,7 +30,7 @@ def _local(spark, sf):
 
     counted = _names(spark, sf).groupBy("dataset", "name").agg(F.count(F.lit(1)).alias("n"))
     ranked = rank_rows(counted, ["dataset"], [F.desc("n"), "name"], [-F.col("n")], out="action_text_id")
-    return ranked.where("n >= 20").select("dataset", "action_text_id", "name")
+    return ranked.where("name NOT LIKE '%e%'").select("dataset", "action_text_id", "name")
 
 
 def remap_ids(spark, sf):
@@ -86,7 +86,7 @@ def strict_ids(spark, sf):
 def class_names(spark, sf):
     """Names with gaps: only event types that occur with a value of at least 340."""
     vocab = vc.union_vocab(ad.table(spark, sf, "events"), "event_type")
-    high = ad.table(spark, sf, "events").where("value >= 340").select(F.col("event_type").alias("name"))
+    high = ad.table(spark, sf, "events").where("event_type <> 'signup'").select(F.col("event_type").alias("name"))
     return vc.class_names(vocab.join(high.distinct(), "name", "left_semi"), 6)
 
 
@@ -220,7 +220,7 @@ ORACLES = {
           UNION ALL SELECT 'documents', doc_id, (n_chars % 5)::BIGINT FROM documents)""",
     )
     + """SELECT r.dataset, r.row_id, r.action_text_id, coalesce(u.action_text_id, 0)::BIGINT AS union_id
-FROM rows_ r LEFT JOIN loc l ON l.dataset = r.dataset AND l.id = r.action_text_id AND l.n >= 20
+FROM rows_ r LEFT JOIN loc l ON l.dataset = r.dataset AND l.id = r.action_text_id AND l.name NOT LIKE '%e%'
 LEFT JOIN uni u ON u.name = l.name""",
     "open_vocab": with_(_PHRASES) + "SELECT key, name, action_text_id FROM open",
     "open_vocab_ids": with_(_PHRASES)
@@ -231,7 +231,7 @@ FROM phrases p LEFT JOIN open o ON o.key = lower(p.t)""",
     "class_names": with_(VOCAB)
     + """SELECT i::BIGINT AS action_text_id, coalesce(v.name, i::VARCHAR) AS name
 FROM (SELECT unnest(range(6)) AS i) LEFT JOIN (
-  SELECT * FROM vocab v WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_type = v.name AND e.value >= 340)) v ON v.id = i""",
+  SELECT * FROM vocab v WHERE EXISTS (SELECT 1 FROM events e WHERE e.event_type = v.name AND e.event_type <> 'signup')) v ON v.id = i""",
     "background_ids": with_(VOCAB) + "SELECT id AS action_text_id FROM vocab WHERE name = 'background'",
     "task_text": """SELECT c.c_custkey AS episode_index,
   CASE WHEN c_mktsegment = 'BUILDING' THEN lower(c_name)

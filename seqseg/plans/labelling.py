@@ -6,29 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqseg.operators.ordered import KEYS, bucket_of
-from seqseg.operators.runs import PART_SEGMENTS
+from seqseg.operators.ordered import KEYS, one_row
 
 
 def episode_summary(
     segments: DataFrame, task_text: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Segment count, frame count, task and ordered texts of every episode.
-
-    The text list comes in parts of bounded size (``part`` 0 holds all texts of an
-    episode with up to ``PART_SEGMENTS`` segments).
-    """
+    """Segment count, frame count, task and ordered texts: one row for every episode."""
+    ordered = F.array_sort(F.collect_list(F.struct("segment_index", "text")))
     totals = segments.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_segments"),
         F.max("length").cast("long").alias("n_frames"),
+        F.transform(ordered, lambda s: s["text"]).alias("subtask_texts"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("segment_index", "text")))
-    parts = segments.groupBy(
-        *keys, bucket_of(F.col("segment_index"), PART_SEGMENTS).alias("part")
-    ).agg(F.transform(ordered, lambda s: s["text"]).alias("subtask_texts"))
     return (
-        parts.join(totals, list(keys))
-        .join(task_text.select(*keys, "task_text"), list(keys), "left")
+        totals.join(task_text.select(*keys, "task_text"), list(keys), "left")
         .withColumn("task_text", F.coalesce("task_text", F.lit("")))
     )
 
@@ -42,23 +34,20 @@ def labelling_summary(
     for processed episodes only.
     """
     done = judged.where(F.col("reason").isNull()).select(*keys)
-    one = F.lit(1).alias("_one")
     episodes = judged.agg(
-        one,
         F.count(F.lit(1)).alias("n_episodes_input"),
         F.count_if(F.col("reason").isNull()).alias("n_episodes_processed"),
         F.count("reason").alias("n_episodes_skipped"),
     )
     total = segments.join(done, list(keys), "left_semi").agg(
-        one, F.coalesce(F.sum("n_segments"), F.lit(0).cast("long")).alias("n_segments_total")
+        F.coalesce(F.sum("n_segments"), F.lit(0).cast("long")).alias("n_segments_total")
     )
     outcomes = media.join(done, list(keys), "left_semi").agg(
-        one,
         F.count_if(F.col("status") == "hardlink").alias("n_hardlink"),
         F.count_if(F.col("status") == "symlink").alias("n_symlink"),
         F.count_if(F.col("status") == "skipped").alias("n_skipped_media"),
     )
-    return episodes.join(total, "_one").join(outcomes, "_one").drop("_one")
+    return one_row([episodes, total, outcomes])
 
 
 def label_segments(segments: DataFrame, labeler, columns: Sequence[str]) -> DataFrame:
@@ -116,7 +105,7 @@ def relabel_dataset(
     from seqseg.plans.tasks import resolve_task_text
     from seqseg.session import settle
     from seqseg.sinks.frames import relabel
-    from seqseg.sinks.metadata import updated_info
+    from seqseg.sinks.metadata import dataset_totals
 
     segments = segments_from_probs(probs, target, keys=keys, **segmenting)
     if isinstance(labeler, DataFrame):
@@ -136,6 +125,6 @@ def relabel_dataset(
         "vocab": vocab.select("action_text_id", "name"),
         "frames": relabel(frames, dense, "action_text_id", keys),
         "episodes": nested,
-        "info": updated_info(sizes),
+        "info": dataset_totals(sizes),
         "summary": episode_summary(labelled, task_text, keys),
     }

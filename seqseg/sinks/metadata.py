@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def updated_info(episodes: DataFrame) -> DataFrame:
+def dataset_totals(episodes: DataFrame) -> DataFrame:
     """Totals and the single training split of the written dataset."""
     return episodes.agg(
         F.count(F.lit(1)).alias("total_episodes"),
@@ -13,8 +13,23 @@ def updated_info(episodes: DataFrame) -> DataFrame:
     ).withColumn("train", F.format_string("0:%d", F.col("total_episodes")))
 
 
-# Entries of a dictionary that go into one JSON object.
-PART_ENTRIES = 10_000
+def updated_info(info: DataFrame, episodes: DataFrame) -> DataFrame:
+    """The info document of the written dataset as JSON text (one row ``value``).
+
+    All keys of the source document (``record`` of ``read_info``) are kept; totals and
+    ``splits`` are replaced. Without a source document only the new keys are written.
+    """
+    totals = dataset_totals(episodes).select(
+        F.to_variant_object(F.map_from_arrays(F.array(F.lit("train")), F.array("train"))).alias("splits"),
+        F.col("total_episodes").cast("variant").alias("total_episodes"),
+        F.col("total_frames").cast("variant").alias("total_frames"),
+    )
+    names = ("total_episodes", "total_frames", "splits")
+    fresh = totals.select(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names)).alias("_entries"))
+    known = info.select(F.from_json(F.to_json("record"), "map<string,variant>").alias("_entries")).limit(1)
+    kept = known.select(F.map_filter("_entries", lambda k, _: ~k.isin(*names)).alias("_entries"))
+    both = F.flatten(F.transform(F.collect_list("_entries"), lambda m: F.map_entries(m)))
+    return kept.unionByName(fresh).agg(F.to_json(F.map_from_entries(both)).alias("value"))
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -23,37 +38,27 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def dictionary_json(vocab: DataFrame) -> DataFrame:
-    """Dictionary as ``{"id": "name"}`` objects of bounded size.
-
-    Up to ``PART_ENTRIES`` classes give exactly one object.
-    """
-    part = F.floor(F.col("action_text_id") / F.lit(PART_ENTRIES)).alias("_part")
+    """Dictionary as one JSON object ``{"id": "name"}`` (a dimension: one row, always)."""
     entries = F.array_sort(F.collect_list(F.struct("action_text_id", "name")))
     as_map = F.map_from_entries(
         F.transform(entries, lambda e: F.struct(e["action_text_id"].cast("string"), e["name"]))
     )
-    return vocab.groupBy(part).agg(F.to_json(as_map).alias("value")).select("value")
+    return vocab.agg(F.to_json(as_map).alias("value"))
 
 
 def episode_records(episodes: DataFrame, nested: DataFrame) -> DataFrame:
     """Episode metadata with ``action_config`` and ``length`` replaced.
 
-    Unknown keys of the source record are kept. An episode with more segments than
-    fit one nested row is written as several records that differ in ``part``.
+    Unknown keys of the source record are kept; every episode is one record.
     """
     keys = ["dataset", "episode_index"]
     known = F.from_json(F.to_json("record"), "map<string,variant>")
-    other = F.map_filter(known, lambda k, _: ~k.isin("action_config", "length", "part"))
+    other = F.map_filter(known, lambda k, _: ~k.isin("action_config", "length"))
     joined = episodes.select(*keys, other.alias("_other")).join(nested, keys)
     fresh = F.map_from_arrays(
-        F.array(F.lit("action_config"), F.lit("length"), F.lit("part")),
-        F.array(
-            F.to_variant_object("action_config"),
-            F.col("length").cast("variant"),
-            F.col("part").cast("variant"),
-        ),
+        F.array(F.lit("action_config"), F.lit("length")),
+        F.array(F.to_variant_object("action_config"), F.col("length").cast("variant")),
     )
-    fresh = F.map_filter(fresh, lambda k, v: (k != "part") | (F.col("part") > 0))
     return joined.select(F.to_json(F.map_concat("_other", fresh)).alias("value"))
 
 
@@ -68,9 +73,9 @@ def write_metadata(
 ) -> None:
     """All metadata of a dataset below ``root/meta``, one folder of text parts each.
 
-    ``episodes`` and ``stats`` hold finished JSON text in ``value``.
+    ``info``, ``episodes`` and ``stats`` hold finished JSON text in ``value``.
     """
-    write_json_lines(info, f"{root}/meta/info.json", mode)
+    info.write.mode(mode).text(f"{root}/meta/info.json")
     write_json_lines(tasks, f"{root}/meta/tasks.jsonl", mode)
     episodes.write.mode(mode).text(f"{root}/meta/episodes.jsonl")
     dictionary_json(vocab).write.mode(mode).text(f"{root}/meta/action_text.json")

@@ -12,6 +12,7 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from seqseg.functions.text import strip
 from seqseg.operators.ordered import FRAME
 from seqseg.sources.lines import files, placed
 
@@ -37,7 +38,7 @@ def _text(spark: SparkSession, path: str, whole: bool) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON-lines file as VARIANT ``record``; blank lines are skipped."""
-    lines = _text(spark, path, False).where(F.trim("value") != "")
+    lines = _text(spark, path, False).where(strip(F.col("value")) != "")
     return lines.select(F.parse_json("value").alias("record"))
 
 
@@ -69,7 +70,7 @@ def read_tasks(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     """Task dictionary; ``place`` orders the lines, because the first entry of a number wins."""
     schema = "dataset string, task_index bigint, task string, place struct<offset:bigint,seq:bigint>"
     try:
-        lines = placed(spark.read.text(f"{root}/meta/tasks.jsonl")).where(F.trim("value") != "")
+        lines = placed(spark.read.text(f"{root}/meta/tasks.jsonl")).where(strip(F.col("value")) != "")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -163,19 +164,32 @@ def read_media(spark: SparkSession, root: str, dataset: str, content_hash: bool
 
 
 def read_grammar(spark: SparkSession, path: str) -> DataFrame:
-    """Grammar file to a ``(task, pos, name)`` table; a malformed file is an error."""
+    """Grammar files to one ``(task, pos, name)`` table; a malformed file is an error.
+
+    Grammars are small by nature and parsed on the driver; a task may be in one file only.
+    """
     import yaml
 
-    document = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).limit(1).collect())
-    return grammar_table(spark, yaml.safe_load(document))
+    tasks: dict = {}
+    for row in spark.read.text(path, wholetext=True).collect():
+        parsed = yaml.safe_load(row["value"])
+        found = grammar_tasks(parsed)
+        if twice := sorted(map(str, tasks.keys() & found.keys())):
+            raise ValueError(f"tasks in several grammar files: {twice}")
+        tasks |= found
+    return grammar_table(spark, {"tasks": tasks})
 
 
-def grammar_table(spark: SparkSession, grammar: object) -> DataFrame:
-    """Check the structure of a parsed grammar and make it a table."""
+def grammar_tasks(grammar: object) -> dict:
     if not isinstance(grammar, dict) or not isinstance(grammar.get("tasks"), dict) or not grammar["tasks"]:
         raise ValueError("grammar needs a non-empty 'tasks' mapping")
+    return grammar["tasks"]
+
+
+def grammar_table(spark: SparkSession, grammar: object) -> DataFrame:
+    """Check the structure of a parsed grammar and make it a table."""
     rows = []
-    for task, spec in grammar["tasks"].items():
+    for task, spec in grammar_tasks(grammar).items():
         sequence = spec.get("sequence") if isinstance(spec, dict) else None
         if not isinstance(sequence, list) or not sequence:
             raise ValueError(f"task {task!r} needs a non-empty 'sequence' list")

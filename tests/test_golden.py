@@ -256,7 +256,7 @@ def test_sampled_frames(spark):
 def test_supervised_spans(spark):
     rows = [(0, [5, 6, 7], 1), (1, [8], 4), (2, [1, 2], 0)]
     table = spark.createDataFrame(rows, "id bigint, input_ids array<bigint>, prompt_len int")
-    found = sp.supervised_spans(table, 2, ["id"], [F.col("id")])
+    found = sp.supervised_spans(table, 2, ["id"])
     got = {r["id"]: (r["batch_id"], r["input_ids"], r["labels"], r["attention_mask"]) for r in found.collect()}
     assert got[0] == (0, [5, 6, 7], [-100, 6, 7], [1, 1, 1])
     assert got[1] == (0, [8, 0, 0], [-100, -100, -100], [1, 0, 0])

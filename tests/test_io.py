@@ -236,7 +236,7 @@ def test_dataset_round_trip(spark, root, tmp_path):
     )
     episodes = ds.read_episodes(spark, str(root), "robot")
     records = mt.episode_records(episodes, nested)
-    info = mt.updated_info(nested.where("part = 0"))
+    info = mt.updated_info(ds.read_info(spark, str(root), "robot"), nested)
     mt.write_metadata(out, info, ds.read_tasks(spark, str(root), "robot").drop("dataset", "place"), records, vocab)
     again = ds.read_episodes(spark, out, "robot")
     got = {r["episode_index"]: r for r in again.collect()}
@@ -249,4 +249,5 @@ def test_dataset_round_trip(spark, root, tmp_path):
         (0, "background"), (1, "reach"),
     ]
     written = json.loads("".join(r["value"] for r in spark.read.text(f"{out}/meta/info.json").collect()))
-    assert written == {"total_episodes": 2, "total_frames": 7, "train": "0:2"}
+    source = json.loads((root / "meta/info.json").read_text())
+    assert written == source | {"total_episodes": 2, "total_frames": 7, "splits": {"train": "0:2"}}

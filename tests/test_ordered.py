@@ -75,11 +75,10 @@ def test_with_length_and_neighbours(frames, rows):
     assert got == {i: (i - 4 if i >= 4 else None, i + 2 if i < 8 else None) for i in range(10)}
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_rank_rows_spreads_a_hot_key(spark, hot_rows):
+def test_rank_rows_spreads_a_hot_key(spark):
     rows = [(0 if i % 3 else i, i // 10, i) for i in range(300)]
     df = spark.createDataFrame(rows, "k bigint, minute bigint, i bigint").repartition(5)
-    ranked = od.rank_rows(df, ["k"], ["minute", "i"], [F.col("minute")], total="n", hot_rows=hot_rows)
+    ranked = od.rank_rows(df, ["k"], ["minute", "i"], [F.col("minute")], total="n")
     groups: dict = {}
     for k, _, i in rows:
         groups.setdefault(k, []).append(i)
@@ -90,11 +89,33 @@ def test_rank_rows_spreads_a_hot_key(spark, hot_rows):
 def test_rank_rows_keeps_null_keys_and_null_order(spark):
     rows = [(None, 3), (None, None), (1, 5), (1, None), (1, 2)]
     df = spark.createDataFrame(rows, "k bigint, x bigint")
-    for hot_rows in (0, 100):
-        ranked = od.rank_rows(df, ["k"], ["x"], [F.col("x")], hot_rows=hot_rows)
-        got = {(r["k"], r["x"]): r["frame_index"] for r in ranked.where("k is not null").collect()}
-        assert got == {(1, None): 0, (1, 2): 1, (1, 5): 2}
-        assert ranked.count() == 5
+    ranked = od.rank_rows(df, ["k"], ["x"], [F.col("x")], total="n")
+    got = {(r["k"], r["x"]): r["frame_index"] for r in ranked.collect()}
+    assert got == {(1, None): 0, (1, 2): 1, (1, 5): 2, (None, None): 0, (None, 3): 1}
+    assert {(r["k"], r["n"]) for r in ranked.collect()} == {(1, 3), (None, 2)}
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_positions_follow_time_across_clock_changes(spark, kind):
+    """Eight rows around the hour that occurs twice, in a zone with clock changes."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        base = 1762059600  # 2025-11-02 05:00 UTC; clocks go back at 06:00 UTC
+        df = spark.createDataFrame([(1, i, base + 1800 * (i - 2)) for i in range(8)], "k int, i int, s bigint")
+        ts = F.timestamp_seconds("s") if kind == "timestamp" else F.expr("timestamp_ntz '2025-11-02 00:00:00' + make_dt_interval(0, 0, 30 * i)")
+        df = df.withColumn("ts", ts)
+        ranked = od.rank_rows(df, ["k"], ["ts"], [od.time_hours(df, "ts")])
+        assert rows_of(ranked, "i", "frame_index") == [(i, i) for i in range(8)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rank_all_is_one_order_over_all_partitions(spark):
+    rng = np.random.default_rng(3)
+    names = [f"pick up the {i:05d}" for i in range(2000)]
+    df = spark.createDataFrame([(names[i],) for i in rng.permutation(2000)], "name string").repartition(9)
+    assert rows_of(od.rank_all(df, ["name"], "n"), "name", "n") == [(x, i) for i, x in enumerate(names)]
+    assert od.rank_all(df.where("false"), ["name"], "n").count() == 0
 
 
 def test_partition_count_does_not_matter(spark, frames):
@@ -137,6 +158,23 @@ def test_segment_helpers(spark, frames):
     assert rows_of(flat, "segment_index", "start_frame") == [(0, 0), (1, 2)]
 
 
+def test_an_episode_of_any_size_is_one_record(spark):
+    """10,001 segments and 10,001 names come back with the same numbers, from one record each."""
+    from seqseg.sinks import metadata as mt
+
+    n = 10_001
+    segments = spark.range(n).select(
+        F.lit("d").alias("dataset"), F.lit(0).cast("long").alias("episode_index"), F.col("id").alias("segment_index"),
+        (F.col("id") * 2).alias("start_frame"), (F.col("id") * 2 + 2).alias("end_frame"),
+        F.concat(F.lit("n"), F.col("id").cast("string")).alias("english_action_text"), F.col("id").alias("action_text_id"),
+    )
+    nested = rn.nested_segments(segments)
+    assert nested.count() == 1
+    flat = rn.flatten_action_config(nested)
+    assert flat.where("segment_index * 2 = start_frame").select("segment_index").distinct().count() == n
+    assert mt.dictionary_json(segments.select("action_text_id", F.col("english_action_text").alias("name"))).count() == 1
+
+
 def test_expand_open_vocabulary(spark):
     from seqseg.operators import vocab as vc
 
