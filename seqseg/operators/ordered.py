@@ -364,6 +364,8 @@ def map_sorted_groups(
     import numpy as np
     import pandas as pd
 
+    from seqseg.session import ship
+
     key_names, column_names = list(keys), list(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -414,6 +416,7 @@ def map_sorted_groups(
             if len(block):
                 yield from flush(block)
 
+    ship(df.sparkSession)
     kept = list(dict.fromkeys([*key_names, *order, *column_names]))
     return (
         df.select(*kept)

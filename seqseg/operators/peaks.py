@@ -19,7 +19,7 @@ from functools import partial, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from seqseg.session import settle
+from seqseg.session import settle, ship
 from seqseg.operators.ordered import (
     BUCKET,
     BUCKET_ROWS,
@@ -352,7 +352,8 @@ def detect_peaks(
     """Boundary frames: plateau peaks, then distance, prominence and threshold.
 
     Prominence looks at one peak and the curve, so it is measured first, in the one
-    pass over the curve; the distance test sees all peaks.
+    pass over the curve. Peaks below the threshold leave before the distance test: a
+    lower peak never removes a higher one, so the result is the same.
     """
     curve = value_runs(frames, value, keys, order, rows)
     if prominence > 0:
@@ -360,9 +361,9 @@ def detect_peaks(
     else:
         height = F.col(value).alias("height")
         tops = curve.where("is_peak").select(*keys, "peak", height, "length", F.lit(0.0).alias("prominence"))
-    chosen = suppress_near(tops, max(1, min_distance), "later", keys, rows)
-    passed = (F.col("height") >= threshold) & (F.col("prominence") >= prominence)
-    return chosen.where(passed).drop("prominence")
+    high = tops.where(F.col("height") >= threshold)
+    chosen = suppress_near(high, max(1, min_distance), "later", keys, rows)
+    return chosen.where(F.col("prominence") >= prominence).drop("prominence")
 
 
 def local_peaks(
@@ -474,6 +475,7 @@ def merge_short(
     busy = carry(busy, {"_before": ("last", F.col("_cut"))}, keys, "segment_index", rows)
     busy = busy.withColumn("_group", F.coalesce("_cut", "_before", F.lit(-1).cast("long")))
 
+    ship(segments.sparkSession)
     merged = busy.select(*keys, "_group", "segment_index", "start_frame", "end_frame", "length")
     merged = (
         merged.repartition(*keys, "_group")

@@ -20,7 +20,8 @@ from seqseg.operators.ordered import (
 
 def _hash_unit(*parts: Column) -> Column:
     """Uniform value in (0, 1) from a hash: the same for every attempt of a task."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def binned_frames(

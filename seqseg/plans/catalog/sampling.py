@@ -80,17 +80,20 @@ def span_mask(spark, sf):
     )
 
 
+def _elements(features):
+    """Both streams, one row per element."""
+    flat = features.select(E, FRAME, F.posexplode(F.arrays_zip("rgb", "flow")).alias("dim", "v"))
+    return flat.select(E, FRAME, F.col("dim").cast("long").alias("dim"), r6(F.col("v.rgb")).alias("rgb"), r6(F.col("v.flow")).alias("flow"))
+
+
 def feature_dropout(spark, sf):
     dropped = sp.feature_dropout(ad.em_features(spark, sf), 0.2, 0.1, seed=3)
-    return dropped.select(
-        E, FRAME, F.md5(F.to_json(F.struct("rgb", "flow"))).alias("digest"),
-        F.size(F.filter("rgb", lambda x: x == 0)).cast("long").alias("n_zero"),
-    )
+    return _elements(dropped)
 
 
 def feature_noise(spark, sf):
     noisy = sp.gaussian_noise(ad.em_features(spark, sf), 0.05, seed=3)
-    return noisy.select(E, FRAME, F.posexplode("rgb").alias("dim", "x")).select(E, FRAME, "dim", r6(F.col("x")).alias("x"))
+    return _elements(noisy)
 
 
 QUERIES = {
@@ -135,6 +138,22 @@ def _batch_sql(pad: int) -> str:
     )
 
 
+_CELLS = """cells AS (SELECT episode_index, frame_index, d::BIGINT AS dim, rgb[d + 1] AS rgb, flow[d + 1] AS flow
+  FROM (SELECT *, unnest(range(32)) AS d FROM em))"""
+
+
+def _unit(name: str, place: str, before: str = "") -> str:
+    """Uniform draw of the operators, seed 3: the first 52 bits of an MD5 digest."""
+    text = f"concat_ws('|', '3', {name}, {before}'embeddings', episode_index::VARCHAR, {place}::VARCHAR)"
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def _normal(name: str) -> str:
+    place = "frame_index::VARCHAR, dim"
+    u, v = (_unit(name, place, f"'{n}', ") for n in "uv")
+    return f"sqrt(-2.0::DOUBLE * ln({u})) * cos({6.283185307179586!r}::DOUBLE * {v})"
+
+
 ORACLES = {
     "centre_frames": with_(*_SEG, _CENTRE) + "SELECT * FROM centre",
     "binned_frames": with_(*_SEG)
@@ -161,4 +180,13 @@ z AS (SELECT *, unnest(range(longest)) AS pos FROM y)
 SELECT e AS episode_index, f::BIGINT AS frame_index, batch_id, pos::BIGINT AS pos,
   CASE WHEN pos < n THEN ids[pos + 1] ELSE 0 END AS token,
   CASE WHEN pos >= p AND pos < n THEN ids[pos + 1] ELSE -100 END AS target, (pos < n)::BIGINT AS attention FROM z""",
+    "feature_dropout": with_(EM, _CELLS)
+    + f"""SELECT episode_index, frame_index::BIGINT AS frame_index, dim,
+  round(CASE WHEN {_unit("'time'", "frame_index")} < 0.1 OR {_unit("'rgb'", "dim")} < 0.2 THEN 0.0::DOUBLE ELSE rgb END, 6) + 0.0 AS rgb,
+  round(CASE WHEN {_unit("'time'", "frame_index")} < 0.1 OR {_unit("'flow'", "dim")} < 0.2 THEN 0.0::DOUBLE ELSE flow END, 6) + 0.0 AS flow
+FROM cells""",
+    "feature_noise": with_(EM, _CELLS)
+    + f"""SELECT episode_index, frame_index::BIGINT AS frame_index, dim,
+  round(rgb + 0.05::DOUBLE * {_normal("'rgb'")}, 6) + 0.0 AS rgb, round(flow + 0.05::DOUBLE * {_normal("'flow'")}, 6) + 0.0 AS flow
+FROM cells""",
 }

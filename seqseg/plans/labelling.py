@@ -60,6 +60,7 @@ def label_segments(segments: DataFrame, labeler, columns: Sequence[str]) -> Data
     import pandas as pd
 
     from seqseg.functions.text import clean_label
+    from seqseg.session import ship
 
     kept = list(columns)
 
@@ -78,6 +79,7 @@ def label_segments(segments: DataFrame, labeler, columns: Sequence[str]) -> Data
         for batch in batches:
             yield batch.assign(text=[None if t is None else str(t) for t in call(batch)])
 
+    ship(segments.sparkSession)
     source = segments.select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return source.mapInPandas(run, f"{schema}, text string").withColumn("text", clean_label(F.col("text")))

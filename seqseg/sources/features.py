@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seqseg.session import ship
 from seqseg.sources.lines import file_stem, files
 
 ROWS_PER_BATCH = 2_000
@@ -52,6 +53,7 @@ def _convert(spark: SparkSession, path: str, pattern: str, unpack) -> DataFrame:
                     continue
                 yield from _frames(video, columns, length)
 
+    ship(spark)
     found = files(spark, path, pattern).select(file_stem(F.col("path")).alias("video_id"), "content")
     return found.mapInPandas(run, SCHEMA)
 

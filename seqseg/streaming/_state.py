@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from seqseg.session import ship
+
 
 def ordered_state_stream(
     frames: DataFrame,
@@ -43,21 +45,19 @@ def ordered_state_stream(
             text, stamps, positions, values = state.get
             memory = json.loads(text)
             waiting = list(zip(list(stamps), list(positions), list(values)))
-        if state.hasTimedOut:
-            ready, waiting = waiting, []
-        else:
-            # Rows at or before the watermark come too late to be put in order.
-            limit = state.getCurrentWatermarkMs() * 1000
+        idle = state.hasTimedOut and not waiting
+        limit = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            # Rows at or before the watermark come too late to be put in order. Spark
+            # leaves them out before this step and counts them (see ``late_rows``).
             for batch in batches:
                 rows = zip(micros(batch[ts]), batch[order].tolist(), batch[value].tolist())
                 waiting.extend(r for r in rows if limit <= 0 or r[0] > limit)
-            ready = [r for r in waiting if limit > 0 and r[0] <= limit]
-            waiting = [r for r in waiting if not (limit > 0 and r[0] <= limit)]
+        ready = [r for r in waiting if limit > 0 and r[0] <= limit]
+        waiting = [r for r in waiting if not (limit > 0 and r[0] <= limit)]
         memory, emitted = advance(memory, sorted(ready, key=lambda r: (r[0], r[1])))
-        if state.hasTimedOut:
-            state.update((json.dumps(memory), [], [], []))
-            if not waiting:
-                state.remove()
+        if idle:
+            state.remove()
         else:
             waiting.sort(key=lambda r: (r[0], r[1]))
             state.update(
@@ -68,8 +68,11 @@ def ordered_state_stream(
                     [r[2] for r in waiting],
                 )
             )
-            newest = max((r[0] for r in waiting), default=state.getCurrentWatermarkMs() * 1000)
-            state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + idle_timeout_ms)
+            # Wake up as soon as the watermark has passed the oldest waiting row, whether or
+            # not the key gets new rows; without waiting rows, when the key has been idle.
+            now = state.getCurrentWatermarkMs()
+            due = waiting[0][0] // 1000 + 1 if waiting else now + idle_timeout_ms
+            state.setTimeoutTimestamp(max(due, now + 1))
         if emitted:
             yield pd.DataFrame(
                 {
@@ -80,6 +83,7 @@ def ordered_state_stream(
                 }
             )
 
+    ship(frames.sparkSession)
     columns = frames.select(key, ts, order, value).withWatermark(ts, delay)
     emitted = columns.groupBy(key).applyInPandasWithState(
         step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,3 +30,22 @@ def write_stream(
     if name:
         writer = writer.queryName(name)
     return writer.trigger(**trigger_options(update_hz, bounded)).start()
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were left out, over the progress Spark keeps."""
+    return sum(
+        int(operator["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
+
+def stop_after(query: StreamingQuery, max_iters: int, poll_s: float = 0.2) -> None:
+    """Let a stream run ``max_iters`` micro-batches (0: until it ends), then stop it."""
+    while query.isActive:
+        done = (query.lastProgress or {"batchId": -1})["batchId"] + 1
+        if max_iters and done >= max_iters:
+            query.stop()
+            break
+        time.sleep(poll_s)

@@ -30,7 +30,7 @@ def replay(spark, tmp_path, batches, build, name):
     """Feed each batch as one file, then a late sentinel that moves the watermark."""
     folder = tmp_path / "in"
     folder.mkdir()
-    sentinel = [(99, START + dt.timedelta(days=d), 0, "z", 0.0) for d in (1, 2, 3)]
+    sentinel = [(99, START + dt.timedelta(minutes=3 * d), 0, "z", 0.0) for d in (1, 2, 3)]
     for i, rows in enumerate([*batches, *[[s] for s in sentinel]]):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/b{i:03d}")
     stream = (
