@@ -100,9 +100,9 @@ def with_repeats(df: DataFrame, hashes: str, width: int, out: str) -> DataFrame:
 def measure(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per row of ``docs``: id, every value that rules may use, and the columns of ``keep``.
+    """One row per row of ``docs``: every value that rules may use.
 
-    Columns of ``keep`` come first, unchanged, and win over an equally named value.
+    ``_row`` holds the id and the columns of ``keep``, so that they cannot clash with values.
     """
     stops = F.array(*[F.lit(w) for words in STOP_WORDS.values() for w in words])
     base = docs.select(
@@ -124,16 +124,19 @@ def measure(
         F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.size(F.array_intersect(F.transform("_words", lambda w: F.lower(w)), stops)).cast("long").alias("n_stop_words"),
     ]
-    measured = with_repeats(base, "_hashes", window, "_repeats").select("_row", F.struct(*values).alias("_values"))
-    kept = dict.fromkeys((id_col, *keep))
-    names = [n for n in measured.schema["_values"].dataType.names if n not in kept]
-    return measured.select("_row.*", *[F.col(f"_values.{n}") for n in names])
+    return with_repeats(base, "_hashes", window, "_repeats").select("_row", *values)
 
 
 def apply_rules(
     measured: DataFrame, base: Sequence[Rule] = BASE_RULES, rules: Sequence[Rule] = RULES
 ) -> DataFrame:
-    """Add ``base_failed``, ``failed`` (names of all failed rules) and ``kept``."""
+    """Add ``base_failed``, ``failed`` (names of all failed rules) and ``kept``.
+
+    The verdict carries a condition that is always true but that Spark cannot look through.
+    Without it a filter on ``kept`` would be pushed below the measures and repeat all their
+    steps inside one condition, the steps inside lambdas once for every element.
+    """
+    here = F.monotonically_increasing_id() >= 0
     names = F.filter(
         F.array(*[F.when(r.failed(), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull()
     )
@@ -141,12 +144,20 @@ def apply_rules(
     for rule in base:
         base_failed = base_failed | rule.failed()
     return measured.select(
-        "*", base_failed.alias("base_failed"), names.alias("failed"), (F.size(names) == 0).alias("kept")
+        "*", (base_failed & here).alias("base_failed"), names.alias("failed"), ((F.size(names) == 0) & here).alias("kept")
     )
 
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Measures and verdict for every row of ``docs``, after its columns ``keep``."""
-    return apply_rules(measure(docs, id_col, text_col, keep=keep))
+    """Id, columns ``keep``, measures and verdict for every row of ``docs``.
+
+    A measure whose name a kept column has is left out of the result (not of the verdict);
+    ``base_failed``, ``failed`` and ``kept`` always are the verdict.
+    """
+    judged = apply_rules(measure(docs, id_col, text_col, keep=keep))
+    verdict = ("base_failed", "failed", "kept")
+    own = [c for c in dict.fromkeys((id_col, *keep)) if c not in verdict]
+    rest = [c for c in judged.columns if c != "_row" and c not in own]
+    return judged.select(*[F.col("_row")[c].alias(c) for c in own], *rest)

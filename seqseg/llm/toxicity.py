@@ -5,7 +5,7 @@ buckets; each bucket has a vector. A bag of words is the average of its words' v
 a softmax layer on it gives the classes. Misspelt and inflected forms share most n-grams
 with the form that was seen. Vectors and softmax are trained together.
 
-A long text is scored window by window (16 words, every start) and takes its most toxic
+A long text is scored window by window (8 words, every start) and takes its most toxic
 window, so that a few words are not averaged away. Training does the same: it begins with
 random windows of the labelled texts and goes on with the window that scores highest now.
 
@@ -32,7 +32,7 @@ from seqseg.session import ship
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
-WINDOW = 16
+WINDOW = 8
 _SPLIT = str.maketrans({c: " " for c in ".,;:!?\"()[]{}<>|/\\\r\n\t\x0b\x0c"})
 
 
@@ -92,7 +92,10 @@ def window_means(scores: np.ndarray, starts: np.ndarray, width: int) -> tuple[np
 def train(
     cases: list[tuple[str, int]], dim: int = 8, warm: int = 6, rounds: int = 14, rate: float = 0.5, width: int = WINDOW, seed: int = 7
 ) -> Model:
-    """Stochastic gradient (Adagrad) on the log loss over one window per text and round."""
+    """Stochastic gradient (Adagrad) on the log loss over one window per text and round.
+
+    Few texts are gone over more often, so that the number of steps stays about the same.
+    """
     labels = np.array([y for _, y in cases], np.int64)
     if len(set(labels.tolist())) < 2:
         return constant(float(labels.mean()) if len(labels) else 0.0)
@@ -108,6 +111,8 @@ def train(
     seen_v, seen_l, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full(dim, 1e-6, np.float32), 1e-6
     alive = np.flatnonzero(np.diff(starts) > 0)
     sizes = np.minimum(np.diff(starts), width)
+    more = min(max(1.0, 3000 / max(1, len(alive))), 10.0)
+    warm, rounds = round(warm * more), round(rounds * more)
     for turn in range(warm + rounds):
         pick = starts[:-1] + (rng.random(len(docs)) * (np.diff(starts) - sizes + 1)).astype(np.int64)
         if turn >= warm:
