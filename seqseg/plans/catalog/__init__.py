@@ -17,6 +17,7 @@ MODULES = (
     "sampling",
     "scoring",
     "analytics",
+    "long",
 )
 
 

@@ -23,7 +23,7 @@ def _ev_vocab(spark, sf):
 
 
 def _ev_dictionary(spark, sf):
-    """Names of event types that occur with a value of at least 340; others have none."""
+    """Names of all event types but one, which has none."""
     high = ad.table(spark, sf, "events").where("event_type <> 'signup'").select(F.col("event_type").alias("name"))
     return _ev_vocab(spark, sf).join(high.distinct(), "name", "left_semi")
 

@@ -84,7 +84,7 @@ def strict_ids(spark, sf):
 
 
 def class_names(spark, sf):
-    """Names with gaps: only event types that occur with a value of at least 340."""
+    """Names with gaps: every event type but one."""
     vocab = vc.union_vocab(ad.table(spark, sf, "events"), "event_type")
     high = ad.table(spark, sf, "events").where("event_type <> 'signup'").select(F.col("event_type").alias("name"))
     return vc.class_names(vocab.join(high.distinct(), "name", "left_semi"), 6)
