@@ -13,7 +13,6 @@ from check import TABLES, canonical  # noqa: E402
 from seqseg.plans.catalog import all_oracles, all_queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"feature_dropout", "feature_noise"}
 
 
 @pytest.fixture(scope="module")
@@ -28,17 +27,15 @@ def database():
 
 def test_names():
     queries, oracles = all_queries(), all_oracles()
-    assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == ROWS_ONLY
+    assert set(oracles) == set(queries)
 
 
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, database, name):
     df = all_queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    if name in ROWS_ONLY:
-        assert rows
-        return
+    if name == "unknown_labels":
+        assert rows  # the gap is chosen by name, so it is there at every size
     result = database.execute(all_oracles()[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
