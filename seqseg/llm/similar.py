@@ -12,7 +12,8 @@ is enough for the pigeonhole; the few documents that have not use all their bloc
 * Buckets of up to ``SMALL`` documents yield all their pairs. A larger bucket yields pairs
   with its first document and between neighbours, which is linear, and is remembered.
 * Pairs are tested by their bit sketches (16 bits a block, one bit flipped per shingle),
-  then verified on the sets. Equal sets are recognised by a digest.
+  then verified on the sets. Equal sets are recognised by a digest; where a bucket is large,
+  each is linked with the smallest id of its digest.
 * Remembered buckets whose documents are still in several components are compared inside
   tasks, sketch against sketch, only across components; buckets above ``TILE`` documents are
   cut into tiles. Only pairs that pass the sketch test leave the task and are verified.
@@ -311,6 +312,12 @@ def _links(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return settle(sifted.where("sure").select("a", "b").unionByName(verified))
 
 
+def _equal(profiles: DataFrame) -> DataFrame:
+    """Links (a, b) from the smallest id of every set to each other id that has it."""
+    first = profiles.groupBy("digest", "n").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")
+    return settle(profiles.join(first.drop("last"), ["digest", "n"]).where("a < id").select("a", F.col("id").alias("b")))
+
+
 def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
     """Links (a, b) that connect the components of similar documents; ``docs`` has id and text."""
     found = settle(
@@ -331,6 +338,7 @@ def similar_links(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR)
     links = _links(pairs, profiles, percent)
     if not large.limit(1).count():
         return links
+    links = links.unionByName(_equal(profiles))
     known = components(links).withColumnRenamed("node", "id")
     # One document per set is enough: equal sets are linked already.
     single = profiles.groupBy("digest", "n").agg(F.min("id").alias("id")).select("id")

@@ -44,6 +44,17 @@ def test_similar_documents_equal_brute_force(spark, monkeypatch, size, percent,
     assert {r["doc_id"]: r["component_id"] for r in found} == groups(dict(rows), size, percent)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
+def test_interleaved_copies_of_templates_are_linked(spark, size, percent):
+    # Every set shares all its buckets with others, which lie between its copies in id order.
+    form = "name{} was seen at the gate of the old mill near town{}"
+    rows = [(r * 25 + x * 5 + y, form.format(x, y)) for r in range(6) for x in range(5) for y in range(5)]
+    found = similar_documents(table(spark, rows), size=size, percent=percent).collect()
+    expected = groups(dict(rows), size, percent)
+    assert len(set(expected.values())) == 25
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
 def test_similar_documents_null_ids_repeats_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (5, text), (5, text), (7, text), (8, None)]
