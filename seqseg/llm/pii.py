@@ -8,7 +8,7 @@ ranges, digit counts, hint words before it, neighbouring characters), and what n
 covers is "outside". Dynamic programming over cut points, bounded by the longest entity,
 chooses boundaries and kinds together. Base spans always stay; a segmentation adds spans.
 
-The weights are trained on a bounded sample of documents. Gold segmentations are the base
+The weights are trained on a bounded sample of distinct stretches of every kind and form. Gold segmentations are the base
 matches that pass their checks, also in altered copies in which a match is written in a
 looser form. Clusters are independent: no cut point lies inside a candidate of another.
 
@@ -24,7 +24,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqseg.llm.arrays import slices
@@ -49,6 +50,8 @@ _HINTS = {
 }
 #: No candidate that only the field can add is longer; base spans have no bound.
 MAX_ADDED = 120
+#: Forms that no check decides: where they stand in a text they count as outside, in altered copies as gold.
+UNLABELLED = ("spelled", "plain")
 _ANY = re.compile(r"[@0-9]|\[at\]|\(at\)")
 
 
@@ -287,15 +290,68 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.list_(SPAN))], names=["id", "spans"])
 
 
+def _stretches(text: str) -> Iterator[tuple[str, str]]:
+    """(kind and form, 400 characters around it) of the candidates of a text.
+
+    Base matches that have an altered copy are a form of their own. Looser forms that overlap
+    a base match are in its stretch.
+    """
+    if not _ANY.search(text):
+        return
+    for cluster in clusters(candidates(text, base_spans(text))):
+        free = all(c.form != "base" for c in cluster)
+        for c in cluster:
+            form = c.form
+            if form in UNLABELLED and not free:
+                continue
+            if form == "base" and _altered(text, c.kind, c.start, c.end):
+                form = "alterable"
+            yield f"{KINDS[c.kind]}:{form}", text[max(0, c.start - 200) : max(0, c.start - 200) + 400]
+
+
+def _least(rows: Iterator[tuple[str, int, str]], limit: int) -> dict[str, list[tuple[int, str]]]:
+    """The ``limit`` distinct stretches of smallest hash of every form."""
+    kept: dict[str, set[tuple[int, str]]] = {}
+    top: dict[str, int] = {}
+    for form, key, stretch in rows:
+        own = kept.setdefault(form, set())
+        if key <= top.get(form, key):
+            own.add((key, stretch))
+            if len(own) >= 2 * limit:
+                kept[form] = set(sorted(own)[:limit])
+                top[form] = max(kept[form])[0]
+    return {form: sorted(own)[:limit] for form, own in kept.items()}
+
+
+def _draw(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The stretches of a task that can be among the ``limit`` of smallest hash."""
+    rows = (
+        (form, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1, t)
+        for part in slices(batches, "text")
+        for text in part.column("text").to_pylist()
+        for form, t in _stretches(text or "")
+    )
+    found = [(form, key, t) for form, own in _least(rows, limit).items() for key, t in own]
+    columns = list(zip(*found)) or [(), (), ()]
+    kinds = (pa.string(), pa.int64(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["form", "key", "t"])
+
+
 def sample_windows(docs: DataFrame, text_col: str, limit: int) -> list[str]:
-    """At most ``limit`` stretches of 400 characters around a digit run or an ``@``.
+    """At most ``limit`` distinct stretches of 400 characters around candidates, dealt evenly over kinds and forms.
 
-    They are those with the smallest hash, so that the choice does not depend on row order.
+    All candidates of a text count. Those of a form with the smallest hash come first, so that
+    the choice depends neither on row order nor on how often a text is there; a form with few
+    stretches leaves its places to the others. Unlabelled forms get half as many places, so that
+    they cannot outweigh the altered copies.
     """
-    text = F.col(text_col)
-    at = F.regexp_instr(text, F.lit(r"[0-9][0-9 .()+-]{7,}|@"))
-    stretches = docs.where(at > 0).select(F.substring(text, F.greatest(at - 200, F.lit(1)), F.lit(400)).alias("t"))
-    return [r[0] for r in stretches.orderBy(F.xxhash64("t"), "t").limit(limit).collect()]
+    drawn = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _draw(b, limit), "form string, key bigint, t string")
+    place = F.row_number().over(Window.partitionBy("form").orderBy("key", "t"))
+    half = F.substring_index("form", ":", -1).isin(*UNLABELLED)
+    ranked = drawn.distinct().withColumn("place", place).where(F.col("place") <= limit)
+    ranked = ranked.withColumn("place", F.col("place") * F.when(half, 2).otherwise(1))
+    single = ranked.groupBy("t").agg(F.min(F.struct("place", "form")).alias("first"))
+    return [r["t"] for r in single.orderBy("first", "t").limit(limit).collect()]
 
 
 def find_pii(

@@ -216,6 +216,27 @@ def test_pii_learns_looser_forms_and_masks(spark):
     assert pii.find_pii(rows.where("false")).count() == 0
 
 
+def test_pii_sample_holds_every_kind_and_form_once(spark):
+    # A quarter of the rows is one text; every phone and address comes after a number.
+    rng = random.Random(10)
+    number = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    copied = "on 2024 01 01 00 we wrote to all of you"
+    texts = [copied] * 700
+    texts += [f"{i:04d} 0101 00 note " + "word " * 60 + f"call +1 {number()} now" for i in range(700)]
+    texts += [f"{i:04d} 0202 00 note " + "word " * 60 + f"write to user{i}@mail.example.com now" for i in range(20)]
+    texts += [f"{i:04d} 0303 00 note " + "word " * 60 + f"ask bob{i} [at] host.example.org" for i in range(700)]
+    texts += [f"{i:04d} 0404 00 note " + "word " * 60 + f"ask {number()}" for i in range(700)]
+    docs = table(spark, texts)
+    drawn = pii.sample_windows(docs, "text", 60)
+    assert len(drawn) == len(set(drawn)) == 60
+    assert all(sum(mark in t for t in drawn) >= 10 for mark in ("+1 (", "@mail", "[at]"))
+    assert drawn == pii.sample_windows(docs.repartition(7), "text", 60)
+    assert len(pii.sample_windows(docs, "text", 10_000)) > 1400
+    text = "reach me: jane [at] site.example.org or call (415) 555-0199"
+    found = pii.find_pii(spark.createDataFrame([(-1, text)], "doc_id bigint, text string").unionByName(docs.select("doc_id", "text")), sample=60)
+    assert [s["kind"] for s in found.where("doc_id = -1").first()["spans"]] == ["email", "phone"]
+
+
 # ---- byte-level BPE
 
 
