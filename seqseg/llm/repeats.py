@@ -1,21 +1,22 @@
-"""Repeated passages, by suffix trees that are partitioned by prefix.
-
-A suffix of a document starts at any of its words; only its first ``depth`` words (50) count.
-Suffixes with a common start are brought together by a prefix of variable length: it runs
-from the start to the end of the smallest ``gram``-word hash among those inside the first
-``depth`` words, so it has between 25 and 50 words, and equal suffixes have equal prefixes.
-Neighbouring suffixes share that gram and travel as one row.
-
-* Grams of all distinct texts are counted first; suffixes below a gram that only one
-  document has cannot repeat and are never sent (leaves of the tree).
-* A group of suffixes below one repeated gram is sized to memory. Its subtree is built by
-  sorting; an inner node at full depth is a repeated window, and the smallest document
-  under it keeps the words. Runs of repeated windows are the maximal repeats.
-* A group above ``group_limit`` occurrences gets the longest prefix, the whole window: its
-  nodes are then found by an aggregation that combines before the shuffle.
-
-Texts that are equal word for word are one text for the trees; all but the smallest id lose
-every word if they have a window. Windows, nodes and texts are compared by 64-bit hashes.
+"""Repeated passages, by windows that are grouped by their least gram.
+
+A window is ``depth`` words (50) from any word of a document on. Equal windows are brought
+together by a minimizer: the smallest ``gram``-word hash (25) inside the window. The words
+before that gram are not in the key, so windows of a group need not share a prefix. Neighbouring
+windows with the same least gram travel as one row. These groups stand in for suffix trees
+partitioned by prefix: only equality at one depth is asked for, so no suffix is ordered and no
+common-prefix length is made.
+
+* Grams of all distinct texts are counted first; windows of a gram that only one document has
+  cannot repeat and are never sent.
+* A group of windows of one repeated gram is sized to memory. Its window hashes are sorted;
+  equal ones are a repeated window, and the smallest document that has it keeps the words.
+  Runs of repeated windows are the maximal repeats.
+* A group above ``group_limit`` occurrences is dealt by the hash of the whole window: repeated
+  windows are then found by an aggregation that combines before the shuffle.
+
+Texts that are equal word for word are one text for the groups; all but the smallest id lose
+every word if they have a window. Windows and texts are compared by 64-bit hashes.
 
 Defined results: null text and short texts have no window and lose nothing; a null id is
 never removed from and never removes; rows sharing an id are judged each on its own text and
@@ -106,7 +107,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], depth: int, gram: int) -> Itera
 
 
 def _subtree(group: pa.Table, depth: int) -> pa.RecordBatch:
-    """Word ranges that a smaller document has too, for whole groups of suffixes."""
+    """Word ranges that a smaller document has too, for whole groups of windows."""
     rank = np.unique(group.column("id").to_numpy(), return_inverse=True)[1]
     lists = group.column("nodes").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
