@@ -57,6 +57,30 @@ def log_of_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     )
 
 
+def streamed_log(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", chars: int = 256) -> DataFrame:
+    """Event log that a front end would have recorded for finished turns; folding it gives the turns.
+
+    Every message begins with a draft and a delta to it. Then it is regenerated in deltas of
+    ``chars`` characters, or, for about half of them, replaced by an edit. Events of a message
+    come last first, so that their order is known from ``seq`` alone.
+    """
+    event = lambda seq, kind, role, text: F.struct(
+        F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text")
+    )
+    none, role, text = F.lit(None).cast("string"), F.col("role"), F.col("text")
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s).{1,%d}" % chars), F.lit(0))
+    deltas = F.transform(
+        pieces, lambda p, i: F.struct((i + 3).cast("long").alias("seq"), F.lit("delta").alias("kind"), none.alias("role"), p.alias("text"))
+    )
+    draft = F.array(event(0, "message", role, F.substring(text, 1, 20)), event(1, "delta", none, F.lit(" (draft)")))
+    again = F.concat(F.array(event(2, "regenerate", role, F.lit(""))), deltas)
+    edited = F.array(event(2, "edit", role, text))
+    is_edit = F.pmod(F.xxhash64("conv_id", "turn", "part"), F.lit(2)) == 0
+    finished = log_of_turns(turns, conv, turn)
+    events = F.reverse(F.concat(draft, F.when(is_edit, edited).otherwise(again)))
+    return finished.select("conv_id", "turn", "part", F.inline(events))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, part, role, text) of a log (conv_id, turn, part, seq, kind, role, text)."""
     event = F.struct("seq", "kind", "role", "text")

@@ -378,6 +378,21 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "pii", "byte_bpe"]
 
 
+def test_chat_query_folds_a_real_log(spark, monkeypatch):
+    from seqseg.llm import q_chat
+
+    logs = []
+    monkeypatch.setattr(q_chat, "fold_events", lambda log: logs.append(log) or chat.fold_events(log))
+    q_chat.op7_chat_formatting(spark, "/root/testdata/sf0.001")
+    kinds = {r["kind"]: r["count"] for r in logs[0].groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] == kinds["edit"] + kinds["regenerate"]
+    rows = [(c, t, r, x) for c in range(6) for t, (r, x) in enumerate([("user", "é\n😀" * 300), (None, None), ("assistant", ""), ("user", "a"), ("user", "b")])]
+    rows += [(1, 0, "user", "second"), (None, 0, "user", "x" * 257)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    plain, streamed = (sorted(map(str, chat.fold_events(f(turns)).collect())) for f in (chat.log_of_turns, chat.streamed_log))
+    assert plain == streamed and len(plain) == len(rows)
+
+
 def test_pipeline_stages_on_empty_documents(spark, tmp_path):
     import corpus_pipeline
 
