@@ -102,6 +102,12 @@ def demo_weights(spark, sf):
     return found.select(E, "subtask", "basis", (F.round("weight", 4) + F.lit(0.0)).alias("weight"))
 
 
+def demos_too_short(spark, sf):
+    """Demonstrations that have no weights, as they have fewer than three frames."""
+    first = ad.ev_frames(spark, sf).where((F.col(FRAME) == 0) & (F.col("length") < 3))
+    return first.select(E, F.col("label").alias("subtask"), F.col("length").cast("long").alias("n_frames"))
+
+
 def demo_library(spark, sf):
     found = tj.primitive_library(_weights(spark, sf), ["subtask"], E)
     return found.select(
@@ -198,6 +204,7 @@ QUERIES = {
     "lag_context": lag_context,
     "demo_derivatives": demo_derivatives,
     "demo_weights": demo_weights,
+    "demos_too_short": demos_too_short,
     "demo_library": demo_library,
     "epoch_metrics": epoch_metrics,
     "top_epochs": top_epochs,
@@ -269,6 +276,9 @@ FROM runs a JOIN runs b ON b.episode_index = a.episode_index AND b.segment_index
     "demo_derivatives": with_(EV, _DEMOS)
     + "SELECT e AS episode_index, t::BIGINT AS frame_index, subtask, round(dy, 6) + 0.0 AS dy, round(ddy, 6) + 0.0 AS ddy FROM d2",
     "demo_weights": with_(EV, _DEMOS, _WEIGHTS) + "SELECT e AS episode_index, subtask, basis, round(weight, 4) + 0.0 AS weight FROM wt",
+    "demos_too_short": with_(EV)
+    + """SELECT episode_index, arg_min(label, frame_index) AS subtask, count(*)::BIGINT AS n_frames
+FROM ev GROUP BY 1 HAVING count(*) < 3""",
     "demo_library": with_(EV, _DEMOS, _WEIGHTS)
     + """SELECT subtask, basis, round(avg(weight), 3) + 0.0 AS weight, round(avg(y0), 6) AS y0, round(avg(goal), 6) AS goal,
   count(DISTINCT e)::BIGINT AS n_demos FROM wt GROUP BY 1, 2""",

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from conftest import KEYS, rows_of
 from seqseg.operators import metrics as mt, ordered as od, runs as rn, transitions as tr
@@ -169,3 +169,19 @@ def test_report_is_the_same_for_any_bucket_size(spark):
     table = spark.createDataFrame(rows, "dataset string, episode_index bigint, frame_index bigint, gt bigint, pred bigint")
     small = mt.segmentation_report(table, rows=4).first()
     assert tuple(small) == pytest.approx(tuple(mt.segmentation_report(table).first()))
+
+
+def test_every_demonstration_has_weights_or_is_listed_as_too_short(spark, tmp_path):
+    from seqseg.plans.catalog import all_queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    users = [r[0] for r in events.groupBy("user_id").count().where("count >= 3").orderBy("user_id").limit(3).collect()]
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    kept = F.when(F.col("user_id") == users[0], 1).when(F.col("user_id") == users[1], 2).otherwise(10**9)
+    events.withColumn("nth", nth).where(F.col("nth") <= kept).drop("nth").write.parquet(f"{tmp_path}/events.parquet")
+    queries = all_queries()
+    short = {r["episode_index"]: r["n_frames"] for r in queries["demos_too_short"](spark, str(tmp_path)).collect()}
+    weighed = {r[0] for r in queries["demo_weights"](spark, str(tmp_path)).select("episode_index").distinct().collect()}
+    every = {r[0] for r in ad.ev_frames(spark, str(tmp_path)).select("episode_index").distinct().collect()}
+    assert (short[users[0]], short[users[1]]) == (1, 2)
+    assert not weighed & set(short) and weighed | set(short) == every
