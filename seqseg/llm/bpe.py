@@ -40,6 +40,19 @@ LETTER, NUMBER, SPACE, WHITE, OTHER, APOSTROPHE, END = range(7)
 ONE, BEFORE_E, E, EL = 7, 8, 9, 10
 _WHITE = (*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _BREAK = 0x110000  # stands between texts
+_PLANES = 0x40000  # no letter or number lies in later planes
+# Letters and numbers of Unicode 16, which the tokenizer libraries know and
+# Python's tables (15.1) do not; first and last code point.
+_NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+_NEW_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+)
 
 # Symbols: what the automaton reads.
 S_LETTER, S_NUMBER, S_OTHER, S_SHORT, S_LONG, S_SPACE, S_WHITE, S_RUN, S_END = range(9)
@@ -53,7 +66,10 @@ N_STATES, BLOCK = 8, 128
 def _classes() -> np.ndarray:
     table = np.full(_BREAK + 1, OTHER, np.uint8)
     kinds = {"L": LETTER, "N": NUMBER}
-    table[:_BREAK] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(_BREAK)]
+    table[:_PLANES] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(_PLANES)]
+    for ranges, kind in ((_NEW_LETTERS, LETTER), (_NEW_NUMBERS, NUMBER)):
+        for first, last in ranges:
+            table[first : last + 1] = kind
     table[list(_WHITE)] = WHITE
     table[0x20], table[0x27], table[_BREAK] = SPACE, APOSTROPHE, END
     for chars, kind in (("stmd", ONE), ("rv", BEFORE_E), ("e", E), ("l", EL)):
