@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_rules", "q_chat", "q_matching", "q_scans", "q_tokens", "q_models")
+MODULES = ("q_rules", "q_chat", "q_matching", "q_scans", "q_tokens", "q_models", "q_trie", "q_phrases")
 
 
 def _collect(attribute: str) -> dict:
