@@ -9,10 +9,12 @@ left in one go: the symbols inside an interval are the possible extensions, thei
 counts, and the last-to-first mapping leads to the interval of the longer n-gram. Orders of
 three words are enough for n-grams of four, since the last extension needs no interval.
 
-* One pass writes the indexes. Words and pairs are enumerated and summed over shards. A shard
-  has each of them once, so no key is hot: its rows are at most as many as there are shards.
-* Pairs that reach the threshold go back to their shards. Only n-grams of three and four words
-  whose pairs all reach it are enumerated; no other can reach it.
+* One pass writes the indexes. Words and pairs are enumerated and summed over shards by 96 bits
+  of hash. A shard has each of them once, so no key is hot: its rows are at most as many as
+  there are shards.
+* Pairs that reach the threshold go back to their shards; the first shard of each word and pair
+  names it. N-grams of three and four words whose pairs all reach it (no other can) are summed
+  by their texts.
 * Scores need the counts of parts of candidates, which are candidates or frequent words.
 
 A candidate inside a longer one is dropped by the longer one's count. Counts do not grow
@@ -32,10 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqseg.llm.arrays import mix
 from seqseg.session import settle, ship
 
 #: Words of a shard; the last stretch of text may go beyond it.
@@ -43,6 +47,8 @@ SHARD_WORDS = 3_000_000
 #: Bytes of text that are split into words at a time.
 STRETCH = 4 << 20
 BATCH = 200_000
+#: Occurrences whose extensions are sorted at a time; one n-gram may go beyond it.
+BLOCK = 500_000
 LONGEST = 4
 
 _END = b"\xff"  # a byte that no UTF-8 text has; stands for the end of a piece
@@ -52,14 +58,15 @@ _TABLE = bytes.maketrans(
 )
 _PIECE_END = re.compile(b"[" + _PIECE_ENDS + b"]")
 _CODEC = pa.Codec("zstd")
+_FACTOR = 0x9E3779B97F4A7C15
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return _CODEC.compress(values.astype("<u4").tobytes(), asbytes=True)
+    return _CODEC.compress(values.astype("<i4").tobytes(), asbytes=True)
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(_CODEC.decompress(packed, 4 * n, asbytes=True), "<u4").astype(np.int64)
+    return np.frombuffer(_CODEC.decompress(packed, 4 * n, asbytes=True), "<i4")
 
 
 def _stretches(raw: bytes) -> Iterator[bytes]:
@@ -135,18 +142,24 @@ class Index:
         """Last-to-first mapping of a transform."""
         if side not in self.leads:
             symbols = self.symbols[side]
-            lead = np.empty(len(symbols), np.int64)
-            lead[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
+            lead = np.empty(len(symbols), np.int32)
+            lead[np.argsort(symbols, kind="stable")] = np.arange(len(symbols), dtype=np.int32)
             self.leads[side] = lead
         return self.leads[side]
 
     def words(self) -> dict[str, np.ndarray]:
         """N-grams of one word: ``grams`` (one row each), ``n``, and the starts of their intervals."""
-        ids = np.arange(1, self.size)
+        ids = np.arange(1, self.size, dtype=np.int32)
         return {"grams": ids[:, None], "n": self.counts[1:], "left": self.first[1:], "right": self.first[1:]}
 
     def extend(self, level: dict[str, np.ndarray], side: str) -> dict[str, np.ndarray]:
         """All n-grams that are one word longer on ``side``; breaks extend nothing."""
+        block = (np.cumsum(level["n"]) - level["n"]) // BLOCK
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        parts = [self._extend(_kept(level, slice(a, b)), side) for a, b in zip(cuts, cuts[1:])]
+        return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+    def _extend(self, level: dict[str, np.ndarray], side: str) -> dict[str, np.ndarray]:
         n, start = level["n"], level[side]
         owner = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(owner)) + np.repeat(start - (np.cumsum(n) - n), n)
@@ -166,7 +179,7 @@ class Index:
         return {"grams": grams, "n": count, side: self.lead(side)[at[order[head]]], other: level[other][own] + inside}
 
 
-def _kept(level: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
+def _kept(level: dict[str, np.ndarray], keep: np.ndarray | slice) -> dict[str, np.ndarray]:
     return {k: v[keep] for k, v in level.items()}
 
 
@@ -174,13 +187,19 @@ def pairs(index: Index) -> dict[str, np.ndarray]:
     return index.extend(index.words(), "right")
 
 
-def longer(index: Index, frequent: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
-    """N-grams of three and four words, all of whose pairs are among ``frequent`` (places in ``pairs``)."""
+def longer(index: Index, words: np.ndarray, frequent: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+    """Given words and pairs (places in ``pairs``), then n-grams of three and four words all of whose pairs are given."""
+    yield _kept(index.words(), words)
     level = _kept(pairs(index), frequent)
-    codes = np.sort(level["grams"][:, 0] * index.size + level["grams"][:, 1])
+    yield level
+
+    def code_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) * index.size + right
+
+    codes = np.sort(code_of(level["grams"][:, 0], level["grams"][:, 1]))
 
     def known(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        code = left * index.size + right
+        code = code_of(left, right)
         place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         return codes[place] == code if len(codes) else np.zeros(len(code), bool)
 
@@ -260,52 +279,78 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {k: v.values if isinstance(v, pa.ListScalar) else v.as_py() for k, v in row.items()}
 
 
-def _phrases(words: pa.Array, grams: np.ndarray) -> pa.Array:
-    taken = [words.take(pa.array(grams[:, i])) for i in range(grams.shape[1])]
-    return pc.binary_join_element_wise(*taken, " ") if len(taken) > 1 else taken[0]
-
-
-def _emit(row: dict, words: pa.Array, level: dict[str, np.ndarray], place: bool) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(level["n"]), BATCH):
-        own = slice(a, a + BATCH)
-        grams, n = level["grams"][own], level["n"][own]
-        columns = {
-            "shard": pa.array(np.full(len(n), row["shard"])),
-            "place": pa.array(np.arange(a, a + len(n)) if place else np.full(len(n), -1)),
-            "lang": pa.array([row["lang"]]).take(pa.array(np.zeros(len(n), np.int64))),
-            "phrase": _phrases(words, grams),
-            "n": pa.array(n.astype(np.int64)),
-        }
-        yield pa.RecordBatch.from_pydict(columns)
+def _keys(row: dict, words: pa.Array, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of (lang, n-gram): 64 bits and 32 more."""
+    start, raw = row["lang"].encode() + b"\t", words.cast(pa.binary()).to_pylist()
+    both = []
+    for seed in (0, 1):
+        own = np.array([xxhash.xxh3_64_intdigest(start + w, seed) for w in raw], np.uint64)
+        out = own[grams[:, 0]]
+        for i in range(1, grams.shape[1]):
+            out = mix(out) * np.uint64(_FACTOR) + own[grams[:, i]]
+        both.append(mix(out).view(np.int64))
+    return both[0], (both[1] >> 32).astype(np.int32)
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words and pairs of each shard; words have the places -1, -2 and so on."""
     for row in _rows_of(batches):
         index, words = _load(row)
-        yield from _emit(row, words, index.words(), False)
-        yield from _emit(row, words, pairs(index), True)
+        for level, sign in ((index.words(), -1), (pairs(index), 1)):
+            places = np.arange(len(level["n"]), dtype=np.int32)
+            places = -1 - places if sign < 0 else places
+            keys, checks = _keys(row, words, level["grams"])
+            for a in range(0, len(keys), BATCH):
+                own = slice(a, a + BATCH)
+                n = level["n"][own]
+                shard = np.full(len(n), row["shard"])
+                columns = [pa.array(x) for x in (keys[own], checks[own], shard, places[own], n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "check", "shard", "place", "n"])
 
 
-def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows_of(batches):
-        index, words = _load(row)
-        for level in longer(index, np.sort(row["places"].to_numpy())):
-            yield from _emit(row, words, level, False)
+def _phrases(words: pa.Array, grams: np.ndarray) -> pa.Array:
+    taken = [words.take(pa.array(grams[:, i])) for i in range(grams.shape[1])]
+    return pc.binary_join_element_wise(*taken, " ") if len(taken) > 1 else taken[0]
 
 
-_GRAM_TYPE = "shard bigint, place bigint, lang string, phrase string, n bigint"
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts and counts: of words and pairs that this shard is to name, and of longer n-grams made of frequent pairs."""
+    for row in _rows_of(batches):
+        index, words = _load(row)
+        places = row["places"].field("place").to_numpy()
+        totals = row["places"].field("f").fill_null(0).to_numpy()
+        order = np.argsort(places)
+        places, totals = places[order], totals[order]
+        pair = places >= 0
+        lang = pa.array([row["lang"]])
+        for size, level in enumerate(longer(index, (-1 - places[~pair])[::-1], places[pair]), 1):
+            if size == 1:
+                level = level | {"n": totals[~pair][::-1]}
+            elif size == 2:
+                level = level | {"n": totals[pair]}
+            level = _kept(level, level["n"] > 0)
+            for a in range(0, len(level["n"]), BATCH):
+                grams, n = level["grams"][a : a + BATCH], level["n"][a : a + BATCH]
+                same = lang.take(pa.array(np.zeros(len(n), np.int64)))
+                columns = [same, _phrases(words, grams), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
 
 def frequent_phrases(index: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, size, f): all n-grams of one to four words with a count of ``least`` or more."""
-    total = F.sum("n").over(Window.partitionBy("phrase", "lang"))
-    short = index.mapInArrow(_short, _GRAM_TYPE).withColumn("f", total).where(F.col("f") >= least)
-    short = settle(short.select("shard", "place", "lang", "phrase", "f"))
-    wanted = short.where("place >= 0").groupBy("shard").agg(F.collect_list("place").alias("places"))
-    long = index.join(wanted, "shard").mapInArrow(_long, _GRAM_TYPE)
-    long = long.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    every = short.select("lang", "phrase", "f").distinct().unionByName(long)
-    return settle(every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"))
+    """(lang, phrase, size, f): all n-grams of one to four words with a count of ``least`` or more.
+
+    Words and pairs are summed by 96 bits of hash. A frequent pair goes back to all its shards,
+    which look for longer n-grams; the first shard names it with its total.
+    """
+    every = Window.partitionBy("key", "check")
+    hashed = index.mapInArrow(_short, "key bigint, check int, shard bigint, place int, n int")
+    summed = hashed.withColumns({"f": F.sum("n").over(every), "names": F.col("shard") == F.min("shard").over(every)})
+    wanted = summed.where((F.col("f") >= least) & (F.col("names") | (F.col("place") >= 0)))
+    wanted = settle(wanted.select("shard", "place", F.when(F.col("names"), F.col("f")).alias("f")))
+    wanted = wanted.groupBy("shard").agg(F.collect_list(F.struct("place", "f")).alias("places"))
+    exact = index.join(wanted, "shard").mapInArrow(_exact, "lang string, phrase string, n bigint")
+    counts = exact.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return settle(counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"))
 
 
 def _part(first: Column, length: Column) -> Column:
