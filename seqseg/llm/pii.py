@@ -19,8 +19,10 @@ exclusive; repeated rows are scanned one by one. Only the named columns are read
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +87,8 @@ def valid(kind: str, span: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in span.split("."))
+        parts = [p.lstrip("0") or "0" for p in span.split(".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     digits = digits_of(span)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
@@ -153,11 +156,14 @@ class Model:
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of the best segmentations that are not base spans and overlap none."""
         out = []
+        taken = sorted((a, b) for _, a, b in base)
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         for cluster in clusters(candidates(text, base)):
             if all(c.form == "base" for c in cluster):
                 continue
             for c in best(cluster, [self.score(text, c) for c in cluster]):
-                if c.form != "base" and all(c.end <= a or b <= c.start for _, a, b in base):
+                before = bisect_left(starts, c.end)  # base spans that start before it ends
+                if c.form != "base" and not (before and reach[before - 1] > c.start):
                     out.append((c.kind, c.start, c.end))
         return out
 

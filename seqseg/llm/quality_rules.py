@@ -53,7 +53,6 @@ BASE_RULES = (
 )
 #: Rules of this operator; each needs clear evidence, so that ordinary prose passes.
 RULES = (
-    Rule("max_words", "n_words", high=10_000_000),
     Rule("mean_word_length", "word_chars / greatest(n_words, 1)", low=1.5, high=40.0),
     Rule("symbol_ratio", "n_symbols / greatest(n_words, 1)", high=0.3),
     Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", high=0.5),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -180,6 +181,60 @@ def test_pii_base_spans_equal_regular_expressions(spark):
     assert got == {i: plain(t) for i, t in enumerate(texts)}
 
 
+def stands(kind: str, span: str) -> bool:
+    """The checks of base matches, written without those of the module."""
+    digits = [ord(c) - 48 for c in span if c in "0123456789"]
+    if kind == "ip":
+        values = []
+        for part in span.split("."):
+            value = 0
+            for c in part:
+                value = min(1000, 10 * value + ord(c) - 48)
+            values.append(value)
+        return max(values) <= 255
+    if kind == "card":
+        twice = {d: sum(divmod(2 * d, 10)) for d in range(10)}
+        total = sum(twice[d] if i % 2 else d for i, d in enumerate(digits[::-1]))
+        return 13 <= len(digits) <= 19 and total % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def test_pii_base_spans_stand_by_independent_checks():
+    rng = random.Random(16)
+    bits = ["0" * 40, "00", "0255", "256", "99999", ".", ".", ".", "1", "2", "4111111111111111", "+", "-", " ", "a@b.c", "(555)", "0" * 30]
+    texts = ["x " + "0" * 5000 + ".1.2.3", "1.2.3." + "9" * 6000, "+" + "1" * 7000, "0" * 4400 + "255.0.0.0"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(20))) for _ in range(1500)]
+    for text in texts:
+        expected = [
+            (k, m.start(), m.end())
+            for k, (kind, pattern) in enumerate(zip(pii.KINDS, PII_RULES))
+            for m in pattern.finditer(text)
+            if stands(kind, m[0])
+        ]
+        assert pii.base_spans(text) == expected
+        pii.find_in(text, pii.Model())
+
+
+def test_pii_time_is_linear_in_the_text():
+    # Each line has base spans and loose forms that overlap some of them.
+    line = "mail bob{0}@host.example.org, jane [at] site.example.org or (415) 555-0199 / +1 (415) 555-0199, 10.0.0.{1}, 4111 1111 1111 1112" + " word" * 16
+    text = "\n".join(line.format(i, i % 256) for i in range(25_000))
+    assert len(text) > 5_000_000
+    model = pii.Model({"email:spelled": 1.0, "phone:plain": 1.0, "card:digits": 1.0})
+    start = time.perf_counter()
+    spans = pii.find_in(text, model)
+    assert time.perf_counter() - start < 60
+    kinds = [(s["kind"], s["base"]) for s in spans]
+    assert kinds.count(("email", True)) == kinds.count(("ip", True)) == kinds.count(("phone", True)) == 25_000
+    assert kinds.count(("email", False)) == 25_000
+    base = [(s["start"], s["end"]) for s in spans if s["base"]]
+    cover = np.zeros(len(text) + 1, np.int32)
+    np.add.at(cover, [a for a, _ in base], 1)
+    np.add.at(cover, [b for _, b in base], -1)
+    inside = np.append(0, np.cumsum(np.cumsum(cover) > 0))
+    assert all(inside[s["end"]] == inside[s["start"]] for s in spans if not s["base"])
+
+
 def test_semi_markov_passes_equal_enumeration():
     rng = random.Random(7)
     for _ in range(200):
@@ -251,7 +306,7 @@ def test_bpe_equals_library_and_decodes(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks, library = reference()
     rng = random.Random(9)
-    bits = ["'", "s", "t", "re", "ve", "ll", "l", "d", " ", "  ", "\n", "\t", " ", "　", "É", "12", "½", "!", "-", "́", "漢字", "😀", "\x1c", "Hello", "I'm", "'S"]
+    bits = ["'", "s", "t", "re", "ve", "ll", "l", "d", " ", "  ", "\n", "\t", " ", "　", "É", "12", "½", "!", "-", "́", "漢字", "😀", "\x1c", "Hello", "I'm", "'S", "\u1c89", "\ua7cb", "\U00016130"]
     texts = [*ODD, *["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(4000)], "ab" * 5000, "é" * 3000, " " * 999 + "x"]
     rows = bpe.encode(table(spark, texts), path, decoded=True)
     for r in rows.collect():
