@@ -5,9 +5,11 @@ buckets; each bucket has a vector. A bag of words is the average of its words' v
 a softmax layer on it gives the classes. Misspelt and inflected forms share most n-grams
 with the form that was seen. Vectors and softmax are trained together.
 
-A long text is scored window by window (8 words, every start) and takes its most toxic
+A long text is scored window by window (2 words, every start) and takes its most toxic
 window, so that a few words are not averaged away. Training does the same: it begins with
 random windows of the labelled texts and goes on with the window that scores highest now.
+Which windows it settles on depends on chance, so it is started twice and the linear models
+are averaged: words that only one of them took up count half.
 
 Because the layers are linear, a word contributes one number per model; tasks get one number
 per bucket and keep those of the words seen lately.
@@ -32,7 +34,9 @@ from seqseg.session import ship
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
-WINDOW = 8
+WINDOW = 2
+#: Trainings from different random numbers that are averaged.
+RESTARTS = 2
 _SPLIT = str.maketrans({c: " " for c in ".,;:!?\"()[]{}<>|/\\\r\n\t\x0b\x0c"})
 
 
@@ -89,7 +93,14 @@ def window_means(scores: np.ndarray, starts: np.ndarray, width: int) -> tuple[np
     return (total[at + sizes[owner]] - total[at]) / np.maximum(sizes[owner], 1), begin
 
 
-def train(
+def train(cases: list[tuple[str, int]], restarts: int = RESTARTS, seed: int = 7) -> Model:
+    """Average of the models of several trainings."""
+    models = [fit(cases, seed=seed + i) for i in range(restarts)]
+    value = np.mean([m.value for m in models], axis=0, dtype=np.float64).astype(np.float32)
+    return Model(value, float(np.mean([m.bias for m in models])))
+
+
+def fit(
     cases: list[tuple[str, int]], dim: int = 8, warm: int = 6, rounds: int = 14, rate: float = 0.5, width: int = WINDOW, seed: int = 7
 ) -> Model:
     """Stochastic gradient (Adagrad) on the log loss over one window per text and round.

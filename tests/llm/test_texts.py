@@ -468,3 +468,34 @@ def test_queries_keep_their_contract(spark):
     frame = entry.queries()["op1_toxicity"](spark, "/root/testdata/sf0.001")
     assert {c: k for c, k in frame.dtypes} == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
     assert frame.count() == 200 and frame.where(F.col("score").isNull()).count() == 0
+
+
+def test_toxicity_scores_equal_plain_loops():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -0.7)
+    texts = ["One two, two three!", "word", "", "a " * 9, "Über den Wolken (ganz) oben", "x" * 40]
+
+    def word_score(word):
+        marked, values = f"<{word}>", []
+        for size in toxicity.SIZES:
+            for i in range(len(marked) - size + 1):
+                points = np.array([ord(c) for c in marked[i : i + size]], np.uint64)
+                bucket = toxicity.window_hashes(points, size)[0] % np.uint64(toxicity.BUCKETS)
+                values.append(float(model.value[int(bucket)]))
+        return sum(values) / len(values)
+
+    for text, score in zip(texts, toxicity.Scorer(model).scores(texts)):
+        words = toxicity.words_of(text)
+        n = min(len(words), toxicity.WINDOW)
+        means = [sum(map(word_score, words[i : i + n])) / n for i in range(len(words) - n + 1)] if n else [0.0]
+        assert np.isclose(score, 1 / (1 + np.exp(-max(means) - model.bias)))
+
+
+def test_toxicity_restarts_are_averaged():
+    rng = random.Random(3)
+    cases = [(" ".join(rng.choice(["fine", "day", "tree"]) for _ in range(20)) + " vile" * (i % 2), i % 2) for i in range(60)]
+    both = toxicity.train(cases, restarts=2, seed=1)
+    one, two = (toxicity.fit(cases, seed=s) for s in (1, 2))
+    assert np.allclose(both.value, (one.value + two.value) / 2) and np.isclose(both.bias, (one.bias + two.bias) / 2)
+    low, high = toxicity.Scorer(both).scores(["fine day tree", "fine viles day"])
+    assert low < 0.5 < high
