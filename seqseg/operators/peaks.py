@@ -8,8 +8,8 @@ steps work on peaks or segments after these are cut into independent groups:
   distance apart; peaks of different groups cannot influence each other;
 * minimum length: nothing ever merges across the border of two adjacent segments
   that are both long enough, so episodes are cut there;
-* prominence: each bucket answers what it can alone; peaks whose scan leaves the
-  bucket are finished against the buckets' outlines (their records from either end).
+* prominence: blocks of runs answer what they can alone; scans that leave their block
+  climb a pyramid of block maxima and minima, a join per level.
 """
 
 from __future__ import annotations
@@ -133,210 +133,123 @@ def prominences(
     value: str = "value",
     keys: Sequence[str] = KEYS,
     rows: int = BUCKET_ROWS,
-    fan_in: int = 512,
+    fan_in: int = 64,
 ) -> DataFrame:
     """All peaks with their height above the higher of the two side minima.
 
     ``curve`` is the result of ``value_runs``. Each side of a peak is scanned up to
-    the next *higher* value or the end of the episode. The curve is read once; what is
-    kept of it are the peaks and the buckets' outlines. Returns
-    ``keys, peak, height, length, prominence``.
+    the next *higher* value or the end of the episode. Blocks of ``fan_in`` runs answer
+    what they can alone. Other sides climb a pyramid of block maxima and minima until a
+    later (earlier) block has a higher value, and go down to that value again; minima
+    of the blocks passed on the way are kept. Returns ``keys, peak, height, length,
+    prominence``.
     """
-    head = _schema(curve, keys)
-    lows = "low_left double, low_right double"
-    scanned = settle(
-        map_sorted_groups(
-            curve.select(
-                *keys,
-                "start_frame",
-                F.col(value).cast("double").alias("value"),
-                "peak",
-                "is_peak",
-                "length",
-                bucket_of(F.col("start_frame"), rows).alias(BUCKET),
-            ),
-            [*keys, BUCKET],
-            ["start_frame"],
-            _scan_bucket,
-            f"{head}, {BUCKET} bigint, kind int, peak bigint, height double, length bigint, {lows}, "
-            "open_left boolean, open_right boolean",
-            ["value", "peak", "is_peak", "length"],
-        )
+    items = curve.select(
+        *keys,
+        F.col("segment_index").alias("_at"),
+        F.floor(F.col("segment_index") / fan_in).cast("long").alias("_block"),
+        F.col(value).cast("double").alias("height"),
+        "peak",
+        "is_peak",
+        "length",
     )
-    # Outlines of very long episodes are merged in groups before the last pass sees
-    # them, so that no task holds more than `fan_in` outlines times the levels.
-    columns = ["peak", "height", "length", "low_left", "low_right"]
-    results, level = [], scanned
-    top = scanned.agg(F.max(BUCKET)).first()[0] or 0
-    while True:
-        is_open = F.col("open_left") | F.col("open_right")
-        results.append(level.where((F.col("kind") == 0) & ~is_open).select(*keys, *columns))
-        outline = level.where((F.col("kind") > 0) | is_open).withColumn(
-            "_part", F.floor(F.col(BUCKET) / F.lit(fan_in)).cast("long")
-        )
-        last = top < fan_in
-        merged = map_sorted_groups(
-            outline,
-            [*keys, "_part"],
-            [BUCKET, "kind", "peak"],
-            partial(_merge_outlines, last=last),
-            f"{head}, _part bigint, kind int, peak bigint, height double, length bigint, {lows}, "
-            "open_left boolean, open_right boolean",
-            [BUCKET, "kind", *columns, "open_left", "open_right"],
-        ).withColumnRenamed("_part", BUCKET)
-        if last:
-            results.append(merged.select(*keys, *columns))
-            break
-        level, top = settle(merged), top // fan_in
-    both = reduce(DataFrame.unionByName, results)
-    side = F.greatest("low_left", "low_right")
-    return both.select(*keys, "peak", "height", "length", (F.col("height") - side).alias("prominence"))
-
-
-def _scan_bucket(group):
-    """Side minima inside one bucket, plus the bucket's records from either end.
-
-    kind 0: a peak. kind 1 / 2: a record seen from the left / right end, where
-    ``height`` is the record value and ``low_left`` / ``low_right`` the lowest value
-    before it is reached. kind 3: the bucket's lowest value overall.
-    """
-    import numpy as np
-
-    value, peak, is_peak = group["value"], group["peak"], group["is_peak"]
-    n = len(value)
-
-    def side(order):
-        """Lowest value up to the next higher one, and whether none was found."""
-        low = np.empty(n)
-        open_ = np.zeros(n, dtype=bool)
-        stack = []  # (value, lowest since the entry below), decreasing values
-        for i in order:
-            lowest = value[i]
-            while stack and stack[-1][0] <= value[i]:
-                lowest = min(lowest, stack.pop()[1])
-            low[i] = lowest
-            open_[i] = not stack
-            stack.append((value[i], lowest))
-        return low, open_
-
-    low_left, open_left = side(range(n))
-    low_right, open_right = side(range(n - 1, -1, -1))
-
-    def records(v):
-        best = np.maximum.accumulate(v)
-        is_record = np.append(True, v[1:] > best[:-1])
-        lowest_before = np.append(np.inf, np.minimum.accumulate(v)[:-1])
-        return v[is_record], lowest_before[is_record]
-
-    from_left, before_left = records(value)
-    from_right, before_right = records(value[::-1])
-    p = np.flatnonzero(is_peak)
-    sizes = (len(p), len(from_left), len(from_right), 1)
-    nan = np.full(sum(sizes), np.nan)
-    out = {
-        "kind": np.repeat(np.arange(4, dtype=np.int32), sizes),
-        "peak": np.concatenate([peak[p], np.arange(sizes[1]), np.arange(sizes[2]), [0]]).astype(np.int64),
-        "height": np.concatenate([value[p], from_left, from_right, [value.min()]]),
-        "length": np.full(sum(sizes), group["length"][0]),
-        "low_left": nan.copy(),
-        "low_right": nan.copy(),
-        "open_left": np.zeros(sum(sizes), dtype=bool),
-        "open_right": np.zeros(sum(sizes), dtype=bool),
-    }
-    a, b = sizes[0], sizes[0] + sizes[1]
-    out["low_left"][:a], out["low_right"][:a] = low_left[p], low_right[p]
-    out["open_left"][:a], out["open_right"][:a] = open_left[p], open_right[p]
-    out["low_left"][a:b] = before_left
-    out["low_right"][b : b + sizes[2]] = before_right
-    return out
-
-
-def _merge_outlines(group, last: bool):
-    """Continue open scans over the outlines of consecutive buckets.
-
-    Scans wait on a stack from high to low: a bucket ends the ones below its highest
-    value, so whatever it adds is lower than all that still wait. Scans that are open
-    at the end of the last pass have reached the end of the episode; before that they
-    are handed on together with the outline of the whole group.
+    item = F.struct("_at", "height", "peak", "is_peak", "length")
+    blocks = settle(items.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(item)).alias("items")))
+    top = blocks.agg(F.max("_block")).first()[0]
+    heights = F.transform("items", lambda x: x["height"])
+    levels = [blocks.select(*keys, "_block", heights.alias("hi"), heights.alias("lo"))]
+    while top:
+        levels.append(_coarser(levels[-1], keys, fan_in))
+        top //= fan_in
+    tops = blocks.select(*keys, "_block", heights.alias("hi"), heights.alias("lo"), F.posexplode("items").alias("_pos", "i"))
+    tops = tops.where("i.is_peak").select(*keys, "_block", "hi", "lo", "_pos", "i.peak", "i.height", "i.length")
+    sides = (("left", -1), ("right", 1))
+    for name, side in sides:
+        tops = _scan(tops.withColumn("_side", F.lit(side)), f"_{name}", fan_in)
+    tops = tops.drop("hi", "lo", "_side")
+    columns = [*keys, "peak", "height", "length"]
+
+    def result(df: DataFrame, low) -> DataFrame:
+        return df.select(*columns, (F.col("height") - low).alias("prominence"))
+
+    if len(levels) == 1:
+        return result(tops, F.greatest("_left_low", "_right_low"))
+    tops = settle(tops)
+    inside = F.col("_left_at").isNotNull() & F.col("_right_at").isNotNull()
+    near = result(tops.where(inside), F.greatest("_left_low", "_right_low"))
+    side = [
+        F.struct(F.lit(s).alias("_side"), F.col(f"_{name}_at").alias("_found"), F.col(f"_{name}_low").alias("_low"))
+        for name, s in sides
+    ]
+    far = tops.where(~inside).select(*columns, F.col("_block").alias("_node"), F.inline(F.array(*side)))
+    ended, climbing, found = [far.where("_found IS NOT NULL").drop("_node", "_found")], far.where("_found IS NULL"), {}
+    for k in range(1, len(levels)):
+        step = _visit(climbing.drop("_found"), levels[k], keys, fan_in, own=False)
+        step = settle(step)
+        found[k] = step.where("_found IS NOT NULL").withColumn("_node", F.col("_found")).drop("_found")
+        climbing = step.where("_found IS NULL")
+    ended.append(climbing.drop("_node", "_found"))  # reached an end of the episode
+    going = found[len(levels) - 1]
+    for k in range(len(levels) - 2, -1, -1):
+        going = _visit(going, levels[k], keys, fan_in, own=True)
+        going = going.withColumn("_node", F.col("_found")).drop("_found")
+        if k:
+            going = going.unionByName(found[k])
+    ended.append(going.drop("_node"))
+    both = reduce(DataFrame.unionByName, [e.select(*columns, "_low") for e in ended])
+    return near.unionByName(result(both.groupBy(*columns).agg(F.max("_low").alias("_low")), F.col("_low")))
+
+
+def _coarser(level: DataFrame, keys: Sequence[str], fan_in: int) -> DataFrame:
+    """The next level of the pyramid: maxima and minima of ``fan_in`` blocks each."""
+    child = F.struct("_block", F.array_max("hi").alias("hi"), F.array_min("lo").alias("lo"))
+    parent = F.floor(F.col("_block") / fan_in).cast("long")
+    grouped = level.select(*keys, parent.alias("_parent"), child.alias("_child")).groupBy(*keys, "_parent")
+    children = grouped.agg(F.sort_array(F.collect_list("_child")).alias("_children"))
+    return children.select(
+        *keys,
+        F.col("_parent").alias("_block"),
+        F.transform("_children", lambda c: c["hi"]).alias("hi"),
+        F.transform("_children", lambda c: c["lo"]).alias("lo"),
+    )
+
+
+def _scan(df: DataFrame, out: str, fan_in: int) -> DataFrame:
+    """Next entry of ``hi`` above ``height``, from ``_pos`` on towards ``_side``.
+
+    Adds its number over all blocks (``<out>_at``, null if there is none) and the least
+    ``lo`` that was passed (``<out>_low``).
     """
-    import numpy as np
+    right = F.col("_side") > 0
 
-    bucket, kind, height = group["_bucket"], group["kind"], group["height"]
-    is_open = {"left": group["open_left"].astype(bool), "right": group["open_right"].astype(bool)}
-    rows = np.flatnonzero(kind == 0)
-    if last and not len(rows):
-        return None
-    before = {1: group["low_left"].astype(float), 2: group["low_right"].astype(float)}
-    lows = {"left": before[1].copy(), "right": before[2].copy()}
-    still = {side: np.zeros(len(kind), dtype=bool) for side in lows}
-    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    blocks = list(zip(starts, np.append(starts[1:], len(bucket))))
-
-    def walk(blocks, side, record_kind):
-        low, reached = lows[side], before[record_kind]
-        stack = []  # [height, row, lowest value passed since, for this and all below]
-
-        def pop():
-            _, row, passed = stack.pop()
-            if stack:
-                stack[-1][2] = min(stack[-1][2], passed)
-            low[row] = min(low[row], passed)
-            return row
-
-        for a, b in blocks:
-            here = np.arange(a, b)
-            if stack:
-                for i in here[kind[a:b] == record_kind]:
-                    while stack and stack[-1][0] < height[i]:
-                        row = pop()
-                        low[row] = min(low[row], reached[i])
-                if stack:
-                    lowest = height[here[kind[a:b] == 3][0]]
-                    stack[-1][2] = min(stack[-1][2], lowest)
-            added = here[(kind[a:b] == 0) & is_open[side][a:b]]
-            for i in added[np.argsort(-height[added], kind="stable")]:
-                stack.append([height[i], i, np.inf])
-        while stack:
-            still[side][pop()] = not last
-
-    walk(blocks, "right", 1)
-    walk(blocks[::-1], "left", 2)
-    out = {
-        "kind": kind[rows],
-        "peak": group["peak"][rows],
-        "height": height[rows],
-        "length": group["length"][rows],
-        "low_left": lows["left"][rows],
-        "low_right": lows["right"][rows],
-        "open_left": still["left"][rows],
-        "open_right": still["right"][rows],
-    }
-    if last:
-        return out
-
-    def outline(blocks, record_kind):
-        """Records of the whole group and the lowest value before each."""
-        found, best, lowest = [], -np.inf, np.inf
-        for a, b in blocks:
-            here = np.arange(a, b)
-            for i in here[kind[a:b] == record_kind]:
-                if height[i] > best:
-                    best = height[i]
-                    found.append((best, min(lowest, before[record_kind][i])))
-            lowest = min(lowest, height[here[kind[a:b] == 3][0]])
-        return found, lowest
-
-    from_left, lowest = outline(blocks, 1)
-    from_right, _ = outline(blocks[::-1], 2)
-    records = [(1, n, h, low, np.nan) for n, (h, low) in enumerate(from_left)]
-    records += [(2, n, h, np.nan, low) for n, (h, low) in enumerate(from_right)]
-    records.append((3, 0, lowest, np.nan, np.nan))
-    names = ("kind", "peak", "height", "low_left", "low_right")
-    added = {n: np.array(v) for n, v in zip(names, zip(*records))}
-    added["length"] = np.full(len(records), group["length"][0])
-    for side in ("open_left", "open_right"):
-        added[side] = np.zeros(len(records), dtype=bool)
-    return {n: np.concatenate([out[n], added[n].astype(out[n].dtype)]) for n in out}
+    def ahead(column: str):
+        return F.when(right, F.slice(column, F.col("_pos") + 2, fan_in)).otherwise(
+            F.reverse(F.slice(column, F.lit(1), F.greatest(F.col("_pos"), F.lit(0))))
+        )
+
+    df = df.withColumns({"_hi": ahead("hi"), "_lo": ahead("lo")})
+    df = df.withColumn("_step", F.array_position(F.transform("_hi", lambda x: x > F.col("height")), F.lit(True)))
+    passed = F.slice("_lo", F.lit(1), F.when(F.col("_step") > 0, F.col("_step") - 1).otherwise(fan_in).cast("int"))
+    at = F.col("_block") * fan_in + F.col("_pos") + F.col("_step") * F.col("_side")
+    return df.withColumns({f"{out}_low": F.array_min(passed), f"{out}_at": F.when(F.col("_step") > 0, at)}).drop("_hi", "_lo", "_step")
+
+
+def _visit(scans: DataFrame, level: DataFrame, keys: Sequence[str], fan_in: int, own: bool) -> DataFrame:
+    """Go on with scans in their block of a level.
+
+    ``_node`` is the entry they come from; with ``own`` it is the block itself, which is
+    scanned from its near end. ``_node`` becomes the block, ``_found`` the entry with a
+    higher value, if any, and ``_low`` takes in what was passed.
+    """
+    block = F.col("_node") if own else F.floor(F.col("_node") / fan_in).cast("long")
+    met = scans.withColumn("_block", block).join(level, [*keys, "_block"])
+    if own:
+        position = F.when(F.col("_side") > 0, F.lit(-1)).otherwise(F.size("hi"))
+    else:
+        position = (F.col("_node") - F.col("_block") * fan_in).cast("int")
+    met = _scan(met.withColumn("_pos", position), "_next", fan_in)
+    met = met.withColumns({"_low": F.least("_low", "_next_low"), "_node": F.col("_block"), "_found": F.col("_next_at")})
+    return met.drop("_block", "hi", "lo", "_pos", "_next_low", "_next_at")
 
 
 def detect_peaks(
