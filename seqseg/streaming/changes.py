@@ -41,24 +41,25 @@ def label_changes(
     label: str = "label",
     delay: str = "10 seconds",
     idle_timeout_ms: int = 3_600_000,
+    end: str | None = None,
 ) -> DataFrame:
     """Label changes of live streams.
 
     Rows wait in state until the watermark has passed them, so that late rows within
     ``delay`` are put in order by ``(ts, frame_index)``; older rows are dropped. A key
     without rows for ``idle_timeout_ms`` of event time gives up its state after its
-    waiting rows were emitted.
+    waiting rows were emitted. A row whose ``end`` column is true completes its key.
     """
     from seqseg.streaming._state import ordered_state_stream
 
-    def advance(state: dict, rows) -> tuple[dict, list]:
-        out, last = [], state.get("last")
+    def advance(last: list, rows) -> tuple[list, list]:
+        out = []
         for stamp, position, value in rows:
-            if last is None or value != last:
+            if not last or value != last[0]:
                 out.append((stamp, position, value))
-                last = value
-        return {"last": last}, out
+                last = [value]
+        return last, out
 
     return ordered_state_stream(
-        frames, key, ts, order, label, "string", advance, delay, idle_timeout_ms, label, "string"
+        frames, key, ts, order, label, "string", advance, delay, idle_timeout_ms, label, "string", end
     )

@@ -38,18 +38,22 @@ def rolling_clips(
     order: str = FRAME,
     delay: str = "10 seconds",
     idle_timeout_ms: int = 3_600_000,
+    end: str | None = None,
 ) -> DataFrame:
-    """Clips of live streams; state holds at most ``window - 1`` emitted frames."""
+    """Clips of live streams; state holds at most ``window - 1`` emitted frames.
+
+    A row whose ``end`` column is true completes its key.
+    """
     from seqseg.streaming._state import ordered_state_stream
 
-    def advance(state: dict, rows) -> tuple[dict, list]:
-        recent, out = list(state.get("recent", [])), []
+    def advance(recent: list, rows) -> tuple[list, list]:
+        out = []
         for stamp, position, x in rows:
             recent = [*recent, x][-window:]
             if len(recent) == window:
                 out.append((stamp, position, list(recent)))
-        return {"recent": recent[-(window - 1):] if window > 1 else []}, out
+        return recent[-(window - 1):] if window > 1 else [], out
 
     return ordered_state_stream(
-        frames, key, ts, order, value, "double", advance, delay, idle_timeout_ms, "clip", "array<double>"
+        frames, key, ts, order, value, "double", advance, delay, idle_timeout_ms, "clip", "array<double>", end
     )

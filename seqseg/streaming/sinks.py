@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def trigger_options(update_hz: float = 1.0, bounded: bool = False) -> dict:
@@ -32,13 +32,32 @@ def write_stream(
     return writer.trigger(**trigger_options(update_hz, bounded)).start()
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were left out, over the progress Spark keeps."""
-    return sum(
-        int(operator["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts rows that came after the watermark and were left out, from the first batch on.
+
+    A query keeps its last progress reports only; a listener sees them all. Add it with
+    ``spark.streams.addListener`` before the query starts; ``of(query)`` is its count.
+    """
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.counts.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(int(operator.numRowsDroppedByWatermark) for operator in event.progress.stateOperators)
+        self.counts[run] = self.counts.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        return self.counts.get(str(query.runId), 0)
 
 
 def stop_after(query: StreamingQuery, max_iters: int, poll_s: float = 0.2) -> None:
