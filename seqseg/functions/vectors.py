@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -15,13 +15,19 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not for every element of a lambda inside."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_softmax(logits: Column) -> Column:
     """Log-probabilities, shifted by the maximum so that exp() cannot overflow."""
-    top = F.array_max(logits)
-    log_sum = F.log(
-        F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    )
-    return F.transform(logits, lambda x: x - top - log_sum)
+
+    def shifted(top: Column) -> Column:
+        mass = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        return _once(F.log(mass), lambda log_sum: F.transform(logits, lambda x: x - top - log_sum))
+
+    return _once(F.array_max(logits), shifted)
 
 
 def softmax(logits: Column) -> Column:

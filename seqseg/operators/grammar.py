@@ -1,7 +1,7 @@
 """Task grammars: which label may follow which.
 
-A grammar is a table ``(task, pos, name)``. Class tables are dimensions; the dense
-pair table has classes x classes rows by definition.
+A grammar is a table ``(task, pos, name)``. Class tables are dimensions; the tables of all
+and of forbidden pairs have classes x classes rows by definition, nothing else makes them.
 """
 
 from __future__ import annotations
@@ -54,13 +54,23 @@ def forbidden_pairs(allowed: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def pair_summary(allowed: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Number of classes, allowed and forbidden pairs, and the allowed share."""
-    marked = all_pairs(vocab).join(allowed.withColumn("_ok", F.lit(1)), ["src", "dst"], "left")
-    return marked.agg(
-        F.countDistinct("src").alias("num_classes"),
-        F.count("_ok").alias("n_allowed"),
-        (F.count(F.lit(1)) - F.count("_ok")).alias("n_forbidden"),
-        (F.count("_ok") / F.count(F.lit(1))).alias("density"),
+    """Number of classes, allowed and forbidden pairs, and the allowed share.
+
+    Only allowed pairs are looked at: the others are all pairs less these.
+    """
+    names = vocab.select("name").distinct()
+    known = allowed.select("src", "dst").distinct()
+    for end in ("src", "dst"):
+        known = known.join(names.withColumnRenamed("name", end), end, "left_semi")
+    counts = names.select(F.lit(1).alias("_class"), F.lit(0).alias("_pair")).unionByName(
+        known.select(F.lit(0).alias("_class"), F.lit(1).alias("_pair"))
+    )
+    n, good = F.coalesce(F.sum("_class"), F.lit(0).cast("long")), F.coalesce(F.sum("_pair"), F.lit(0).cast("long"))
+    return counts.agg(
+        n.alias("num_classes"),
+        good.alias("n_allowed"),
+        (n * n - good).alias("n_forbidden"),
+        F.when(n > 0, good / (n * n)).alias("density"),
     )
 
 

@@ -144,34 +144,66 @@ def _joined(order: str, text: str, condition: Column | None = None) -> Column:
     return F.array_join(F.transform(ordered, lambda s: s["_t"]), "")
 
 
+def _cell_of(position: Column, cell: int) -> Column:
+    """Cell of a position on the level of the row."""
+    return F.call_function("shiftright", F.floor(position / cell).cast("long"), F.col("_level"))
+
+
+def _in_cells(segments: DataFrame, keys: Sequence[str], cell: int) -> DataFrame:
+    """Segments once for every cell they touch, from their home level to the top of their episode."""
+
+    def level_of(size: Column) -> Column:
+        cells = F.floor((size - 1) / cell).cast("long")
+        return F.when(cells < 1, 0).otherwise(F.length(F.bin(cells)))
+
+    total = F.col("length") if "length" in segments.columns else F.max("end_frame").over(Window.partitionBy(*keys))
+    placed = segments.select(
+        *keys, "label", "side", "start_frame", "end_frame", total.alias("_total")
+    )
+    placed = placed.withColumn("_home", level_of(F.col("end_frame") - F.col("start_frame")))
+    top = F.greatest("_home", level_of(F.greatest("_total", "end_frame")))
+    spread = placed.withColumn("_level", F.explode(F.sequence("_home", top)))
+    return spread.withColumn("_cell", F.explode(F.sequence(_cell_of(F.col("start_frame"), cell), _cell_of(F.col("end_frame") - 1, cell))))
+
+
 def best_matches(
     segments: DataFrame, background: Sequence = (), keys: Sequence[str] = KEYS, cell: int = CELL
 ) -> DataFrame:
     """For every predicted segment its best overlapping true segment of the same label.
 
-    Segments are looked up in time cells of ``cell`` frames, so one huge episode with
-    few labels stays a local join; a pair is made in the first cell it shares only.
-    IoU is intersection over the hull of both; of equals the earlier segment wins.
+    Segments are looked up in cells of frames. The cells of a level are twice as long as
+    those below, from ``cell`` frames up; a segment is at home on the first level whose
+    cells are at least as long as it is, where it touches two at most, and two segments
+    meet on the higher of their home levels, in the first cell they share. So a segment of
+    any length is a few rows per level of its episode, and one huge episode with few labels
+    stays a local join. IoU is intersection over the hull of both; of equals the earlier
+    segment wins.
     """
-    cells = F.explode(
-        F.sequence(bucket_of(F.col("start_frame"), cell), bucket_of(F.col("end_frame") - 1, cell))
-    )
-    spread = segments.where(_foreground(background)).withColumn("_cell", cells)
 
-    def side(name: str, prefix: str) -> DataFrame:
+    spread = _in_cells(segments.where(_foreground(background)), keys, cell)
+    at_home = F.col("_level") == F.col("_home")
+
+    def side(name: str, prefix: str, tags: Column) -> DataFrame:
         return spread.where(F.col("side") == name).select(
             *keys,
             "label",
+            "_level",
             "_cell",
+            F.explode(tags).alias("_tag"),
             F.col("start_frame").alias(f"{prefix}_start"),
             F.col("end_frame").alias(f"{prefix}_end"),
         )
 
-    pairs = side("pred", "p").join(side("gt", "g"), [*keys, "label", "_cell"])
+    # Both at home (0), only the prediction (1), only the truth (2); never neither.
+    tags = {
+        "pred": F.when(at_home, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))),
+        "gt": F.when(at_home, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1))),
+    }
+    pairs = side("pred", "p", tags["pred"]).join(side("gt", "g", tags["gt"]), [*keys, "label", "_level", "_cell", "_tag"])
     begin = F.greatest("p_start", "g_start")
     shared = F.least("p_end", "g_end") - begin
     hull = F.greatest("p_end", "g_end") - F.least("p_start", "g_start")
-    pairs = pairs.where((shared > 0) & (bucket_of(begin, cell) == F.col("_cell")))
+    pairs = pairs.where((shared > 0) & (_cell_of(begin, cell) == F.col("_cell")))
     best = F.struct((shared / hull).alias("iou"), (-F.col("g_start")).alias("_g"))
     return (
         pairs.groupBy(*keys, "p_start")

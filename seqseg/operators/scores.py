@@ -70,28 +70,58 @@ def smoothness(
     )
 
 
+def _indices(pairs: Sequence[tuple[int, int]], place: int) -> Column:
+    """One end of every pair, as one literal; places that a vector lacks fail the job."""
+    text = ",".join(str(pair[place]) for pair in pairs)
+    return F.split(F.lit(text), ",").cast("array<int>") if pairs else F.array().cast("array<int>")
+
+
+def _mass(before: Column, after: Column, pairs: Sequence[tuple[int, int]], complement: bool) -> Column:
+    """Joint probability of the pairs, or of all other pairs."""
+    ends = F.arrays_zip(_indices(pairs, 0).alias("i"), _indices(pairs, 1).alias("j"))
+    given = F.aggregate(
+        ends,
+        F.lit(0.0),
+        lambda total, e: total + F.element_at(before, e["i"] + 1) * F.element_at(after, e["j"] + 1),
+    )
+    if not complement:
+        return given
+    return F.greatest(vectors.total(before) * vectors.total(after) - given, F.lit(0.0))
+
+
+def _sparse(
+    forbidden: Sequence[Sequence[float]] | None, allowed: Sequence[tuple[int, int]] | None
+) -> tuple[list[tuple[int, int]], bool]:
+    """The shorter list of pairs, and whether it is the allowed ones."""
+    if allowed is not None:
+        return sorted({(int(i), int(j)) for i, j in allowed}), True
+    if forbidden is None:
+        raise ValueError("give the forbidden matrix or the allowed pairs")
+    bad = [(i, j) for i, row in enumerate(forbidden) for j, f in enumerate(row) if f]
+    good = [(i, j) for i, row in enumerate(forbidden) for j, f in enumerate(row) if not f]
+    return (bad, False) if len(bad) <= len(good) else (good, True)
+
+
 def forbidden_mass(
     scores: DataFrame,
-    forbidden: Sequence[Sequence[float]],
+    forbidden: Sequence[Sequence[float]] | None = None,
     by: Sequence[str] = (),
     logits: str = "logits",
     mask: str | None = None,
     keys: Sequence[str] = KEYS,
     order: str = FRAME,
     rows: int = BUCKET_ROWS,
+    allowed: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Joint probability that consecutive frames make a forbidden transition.
 
-    ``forbidden`` is the classes x classes 0/1 matrix, part of the expression.
+    Given is the classes x classes 0/1 matrix ``forbidden`` or, for many classes, the list
+    of ``allowed`` (from, to) pairs. The plan holds the shorter of both lists; the mass of
+    the forbidden ones is all mass less the allowed.
     """
     paired = _pairs(scores, vectors.softmax(F.col(logits)), mask, keys, order, rows)
-    matrix = F.array(*[vectors.literal_vector(row) for row in forbidden])
-    reached = F.zip_with(
-        F.col("_before"), matrix, lambda p, row: p * vectors.dot(row, F.col("_value"))
-    )
-    return _aggregate(
-        paired, by, _mean(F.sum(vectors.total(reached)), F.count(F.lit(1))).alias("trans")
-    )
+    reached = _mass(F.col("_before"), F.col("_value"), *_sparse(forbidden, allowed))
+    return _aggregate(paired, by, _mean(F.sum(reached), F.count(F.lit(1))).alias("trans"))
 
 
 def boundary_cross_entropy(
@@ -147,14 +177,25 @@ def composite(
     mask: str | None = None,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Classification loss and its parts, summed over stages."""
+    """Classification loss and its parts, summed over stages, in one pass over the scores."""
     staged = [*keys, stage]
-    parts = [
-        cross_entropy(scores, [stage]),
-        smoothness(scores, tau, [stage], mask=mask, keys=staged),
-        forbidden_mass(scores, forbidden, [stage], mask=mask, keys=staged),
-    ]
-    return _summed(parts, {"ce": 1.0, "tmse": lam, "trans": gam}, stage)
+    value = F.struct(vectors.log_softmax(F.col("logits")).alias("log"), vectors.softmax(F.col("logits")).alias("p"))
+    columns = {"_before": lambda w: F.lag("_value").over(w)}
+    if mask is not None:
+        columns["_m"] = lambda w: F.lag(mask).over(w)
+    rows = neighbours(scores.withColumn("_value", value), columns, before=1, keys=staged)
+    picked = F.element_at("_value.log", (F.col("label") + 1).cast("int"))
+    linked = F.col("_before").isNotNull() & _valid_pair(mask)
+    squares = F.zip_with(
+        "_value.log", "_before.log", lambda a, b: F.pow(F.least(F.abs(a - b), F.lit(tau)), F.lit(2.0))
+    )
+    reached = _mass(F.col("_before.p"), F.col("_value.p"), *_sparse(forbidden, None))
+    parts = rows.groupBy(stage).agg(
+        F.avg(F.when(F.col("label") != -100, -picked)).alias("ce"),
+        _mean(F.sum(F.when(linked, vectors.total(squares))), F.sum(F.when(linked, F.size("_value.log")))).alias("tmse"),
+        _mean(F.sum(F.when(linked, reached)), F.count(F.when(linked, 1))).alias("trans"),
+    )
+    return _summed([parts], {"ce": 1.0, "tmse": lam, "trans": gam}, stage)
 
 
 def composite_boundary(

@@ -356,6 +356,68 @@ def test_grammar_example(spark):
     assert rows_of(gr.missing_names(grammar, vocab.where("name <> 'background' and name <> 'pick'")), "name") == [("background",), ("pick",)]
 
 
+def test_summary_of_many_classes_looks_at_allowed_pairs_only(spark):
+    n = 10_000
+    vocab = spark.range(n).selectExpr("concat('c', id) AS name", "id AS action_text_id")
+    allowed = spark.range(n).selectExpr("concat('c', id) AS src", "concat('c', (id + 1) % 10001) AS dst")
+    summary = gr.pair_summary(allowed.unionByName(allowed), vocab)
+    assert tuple(summary.first()) == (n, n - 1, n * n - n + 1, (n - 1) / (n * n))
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert tuple(gr.pair_summary(allowed, vocab.where("false")).first()) == (0, 0, 0, None)
+
+
+def test_mass_of_many_classes_takes_the_allowed_pairs(spark):
+    n = 10_000
+    rows = [("d", 0, t, [5.0 if c == t % 3 else 0.0 for c in range(n)]) for t in range(4)]
+    table = spark.createDataFrame(rows, "dataset string, episode_index bigint, frame_index bigint, logits array<double>")
+    allowed = [(i, i) for i in range(n)] + [(0, 1), (1, 2)]
+    p = np.exp(np.array([r[3] for r in rows]))
+    p /= p.sum(axis=1, keepdims=True)
+    expected = np.mean([1 - sum(a[i] * b[j] for i, j in allowed) for a, b in zip(p, p[1:])])
+    assert abs(sc.forbidden_mass(table, allowed=allowed).first()["trans"] - expected) < 1e-9
+
+
+def test_composite_reads_the_scores_once(spark):
+    table = scores_table(spark, [[[1.0, 2.0]] * 4]).withColumn("stage", F.lit(0))
+    plan = sc.composite(table, [[0, 1], [1, 0]])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+
+
+def test_cells_of_a_very_long_segment(spark):
+    row = [("d", 0, "pred", "x", 5, 10**9 + 5, 3 * 10**9)]
+    table = spark.createDataFrame(
+        row, "dataset string, episode_index bigint, side string, label string, start_frame bigint, end_frame bigint, length bigint"
+    )
+    assert mt._in_cells(table, ["dataset", "episode_index"], mt.CELL).count() < 70
+
+
+@pytest.mark.parametrize("cell", [1, 3, 64])
+def test_best_matches_of_any_lengths_equal_brute_force(spark, cell):
+    rng = np.random.default_rng(cell)
+    rows = []
+    for side in ("pred", "gt"):
+        for e, scale in ((0, 3), (1, 40), (2, 700)):
+            cuts = sorted(set(rng.integers(0, 2000, size=2000 // scale).tolist()))
+            rows += [("d", e, side, str(rng.integers(0, 2)), a, b, 2000) for a, b in zip(cuts, cuts[1:])]
+    table = spark.createDataFrame(
+        rows, "dataset string, episode_index bigint, side string, label string, start_frame bigint, end_frame bigint, length bigint"
+    )
+    expected = {}
+    for _, e, side, label, a, b, _ in rows:
+        if side == "pred":
+            over = [
+                ((min(b, y) - max(a, x)) / (max(b, y) - min(a, x)), -x)
+                for _, f, s, lab, x, y, _ in rows
+                if s == "gt" and f == e and lab == label and min(b, y) > max(a, x)
+            ]
+            if over:
+                expected[e, a] = (max(over)[0], -max(over)[1])
+    for given in (table, table.drop("length")):
+        found = mt.best_matches(given, cell=cell).collect()
+        assert {(r["episode_index"], r["p_start"]): (r["iou"], r["g_start"]) for r in found} == expected
+
+
 def test_contiguity(spark):
     cases = {0: [0, 1, 3], 1: [0, 1, 1], 2: [1, 2], 3: [0, 1]}
     rows = [("d", e, p, i) for e, idx in cases.items() for p, i in enumerate(idx)]

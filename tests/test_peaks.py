@@ -201,3 +201,9 @@ def test_segments_tile_the_episode(frames):
     for tiles in by_episode.values():
         assert tiles[0][0] == 0 and tiles[-1][1] == 50
         assert all(a[1] == b[0] for a, b in zip(tiles, tiles[1:]))
+
+
+def test_prominence_runs_without_python(frames):
+    curve = pk.value_runs(frames({0: [0.1, 0.5, 0.2, 0.9, 0.3] * 9}, "p", "double"), rows=8)
+    plan = pk.prominences(curve, "p", fan_in=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
