@@ -39,6 +39,8 @@ from seqseg.session import settle, ship
 
 DEPTH = 50
 GRAM = 25
+#: Occurrences of a gram above which its windows are dealt one by one.
+GROUP_LIMIT = 10_000
 
 
 def _grams(words: np.ndarray, starts: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +182,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group_limit: int = 50_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Word ranges (id, tag, from, to) to remove; ``docs`` has id, tag and text, ids not null."""
     kind = docs.schema["id"].dataType.simpleString()
     profile = settle(
@@ -196,7 +198,8 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group
     copies = known.where(F.col("id") > F.col("first")).select(
         "id", "tag", F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")
     )
-    own = known.where(F.col("id") == F.col("first")).select("id", F.explode(F.array_distinct("grams")).alias("gram"))
+    # A row for every occurrence, also of one text: each is a row of the group later on.
+    own = known.where(F.col("id") == F.col("first")).select("id", F.explode("grams").alias("gram"))
     repeated = (
         own.groupBy("gram")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
@@ -207,8 +210,8 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group
         own.join(repeated, "gram")
         .groupBy("id")
         .agg(
-            F.collect_list("gram").alias("grams"),
-            F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"),
+            F.collect_set("gram").alias("grams"),
+            F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias("hot"),
         )
     )
     wanted = settle(wanted)
@@ -235,7 +238,7 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, group_limit: int = 50_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """Per row: id, ``n_words``, ``n_removed`` and the ``kept`` words joined by spaces."""
     ship(docs.sparkSession)

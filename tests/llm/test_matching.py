@@ -110,7 +110,7 @@ def passage_rows(seed: int, depth: int):
     return [*rows, (70, rows[5][1]), (71, rows[5][1]), (72, None), (73, ""), (None, rows[5][1])]
 
 
-@pytest.mark.parametrize("limit", [50_000, 3])
+@pytest.mark.parametrize("limit", [50_000, 3, 0])
 def test_remove_repeats_equals_brute_force(spark, limit):
     rows = passage_rows(11, 10)
     found = remove_repeats(table(spark, rows), depth=10, gram=5, group_limit=limit).collect()
