@@ -14,6 +14,8 @@ common-prefix length is made.
   Runs of repeated windows are the maximal repeats.
 * A group above ``group_limit`` occurrences is dealt by the hash of the whole window: repeated
   windows are then found by an aggregation that combines before the shuffle.
+* Rows meet their summary (texts by digest, occurrences by gram, windows by hash) in
+  ``join_summary``: a key that holds over a thousandth of the rows is not shuffled.
 
 Texts that are equal word for word are one text for the groups; all but the smallest id lose
 every word if they have a window. Windows and texts are compared by 64-bit hashes.
@@ -41,6 +43,8 @@ DEPTH = 50
 GRAM = 25
 #: Occurrences of a gram above which its windows are dealt one by one.
 GROUP_LIMIT = 10_000
+#: A key is heavy if it has more than one in so many of the rows; fewer keys than this can be.
+HEAVY_SHARE = 1_000
 
 
 def _grams(words: np.ndarray, starts: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +186,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def join_summary(rows: DataFrame, summary: DataFrame, key: str, share: int = HEAVY_SHARE) -> DataFrame:
+    """Inner join of rows with one summary row per key, whose column ``n`` counts the rows of the key.
+
+    Keys with more than one in ``share`` of all counted rows, of which there are fewer than
+    ``share`` by that definition, are joined where the rows lie; all others are shuffled, and
+    none of those can fill a task. ``summary`` should be a written table.
+    """
+    total = summary.agg(F.sum("n")).first()[0] or 0
+    is_heavy = F.col("n") > F.lit(total) / share
+    heavy = summary.where(is_heavy).drop("n")
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return light.join(summary.where(~is_heavy).drop("n"), key).unionByName(rows.join(F.broadcast(heavy), key))
+
+
+def repeated_ranges(
+    docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT, share: int = HEAVY_SHARE
+) -> DataFrame:
     """Word ranges (id, tag, from, to) to remove; ``docs`` has id, tag and text, ids not null."""
     kind = docs.schema["id"].dataType.simpleString()
     profile = settle(
@@ -193,21 +213,21 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group
         )
         .where(F.col("n_words") >= depth)
     )
-    firsts = profile.groupBy("digest").agg(F.min("id").alias("first"))
-    known = profile.join(firsts, "digest")
+    firsts = settle(profile.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    known = join_summary(profile, firsts, "digest", share)
     copies = known.where(F.col("id") > F.col("first")).select(
         "id", "tag", F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to")
     )
     # A row for every occurrence, also of one text: each is a row of the group later on.
     own = known.where(F.col("id") == F.col("first")).select("id", F.explode("grams").alias("gram"))
-    repeated = (
+    repeated = settle(
         own.groupBy("gram")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
         .where("low < high")
-        .select("gram", (F.col("n") > group_limit).alias("hot"))
+        .select("gram", "n", (F.col("n") > group_limit).alias("hot"))
     )
     wanted = (
-        own.join(repeated, "gram")
+        join_summary(own, repeated, "gram", share)
         .groupBy("id")
         .agg(
             F.collect_set("gram").alias("grams"),
@@ -229,16 +249,18 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, group
     )
     found = sized.unionByName(copies)
     if wanted.where(F.size("hot") > 0).limit(1).count():
-        each = suffixes.where("is_hot").select("id", "tag", "start", F.posexplode("nodes").alias("k", "node"))
-        least = each.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-        late = each.join(least, "node").where(F.col("id") > F.col("low"))
+        hot_rows = settle(suffixes.where("is_hot").select("id", "tag", "start", "nodes"))
+        each = hot_rows.select("id", "tag", "start", F.posexplode("nodes").alias("k", "node"))
+        least = each.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+        least = settle(least.where("low < high").select("node", "low", "n"))
+        late = join_summary(each, least, "node", share).where(F.col("id") > F.col("low"))
         begin = F.col("start") + F.col("k")
         found = found.unionByName(late.select("id", "tag", begin.alias("from"), (begin + depth).alias("to")))
     return found
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT, share: int = HEAVY_SHARE
 ) -> DataFrame:
     """Per row: id, ``n_words``, ``n_removed`` and the ``kept`` words joined by spaces."""
     ship(docs.sparkSession)
@@ -246,7 +268,7 @@ def remove_repeats(
     source = docs.select(
         F.col(id_col).alias("id"), F.hash(F.xxhash64(text_col)).alias("tag"), F.col(text_col).alias("text")
     )
-    found = repeated_ranges(source.where(F.col("id").isNotNull()), depth, gram, group_limit)
+    found = repeated_ranges(source.where(F.col("id").isNotNull()), depth, gram, group_limit, share)
     ranges = found.groupBy("id", "tag").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     ranges = ranges.withColumnsRenamed({"id": "_id", "tag": "_tag"})
     both = source.join(ranges, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")

@@ -110,10 +110,10 @@ def passage_rows(seed: int, depth: int):
     return [*rows, (70, rows[5][1]), (71, rows[5][1]), (72, None), (73, ""), (None, rows[5][1])]
 
 
-@pytest.mark.parametrize("limit", [50_000, 3, 0])
-def test_remove_repeats_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("limit, share", [(50_000, 1_000), (3, 1), (0, 30), (0, 1_000)])
+def test_remove_repeats_equals_brute_force(spark, limit, share):
     rows = passage_rows(11, 10)
-    found = remove_repeats(table(spark, rows), depth=10, gram=5, group_limit=limit).collect()
+    found = remove_repeats(table(spark, rows), depth=10, gram=5, group_limit=limit, share=share).collect()
     got = {r["doc_id"]: tuple(r) for r in found}
     expected = {r[0]: r for r in plain_repeats([r for r in rows if r[0] is not None], 10)}
     nulls = got.pop(None)
@@ -121,6 +121,16 @@ def test_remove_repeats_equals_brute_force(spark, limit):
     assert nulls[2] == 0 and nulls[3] == " ".join(rows[5][1].split())
 
 
+@pytest.mark.parametrize("share", [1, 4, 1_000])
+def test_join_summary_equals_a_plain_join(spark, share):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 60), (2, 25), (3, 3), (4, 1)) for i in range(n)], "k int, i int")
+    summary = rows.groupBy("k").agg(F.max("i").alias("top"), F.count("*").alias("n")).where("k <> 3")
+    found = repeats.join_summary(rows, summary, "k", share)
+    plain = rows.join(summary.drop("n"), "k")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    assert repeats.join_summary(rows, summary.where("false"), "k", share).count() == 0
+
+
 def test_remove_repeats_of_one_id_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(20))
     rows = [(1, text), (1, text), (1, "x " + text), (2, text + " y")]
