@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seqseg.operators.ordered import carry
+from seqseg.operators.ordered import carry, rank_all
+from seqseg.session import settle
 
 
 def epoch_metrics(
@@ -74,11 +75,12 @@ def early_stop(
     A run stops after ``patience`` scored epochs in a row without an improvement by
     more than ``min_delta``; epochs without a score do not count. With a positive
     ``min_delta`` an epoch can only improve if it beats *all* earlier ones, so the
-    order-dependent step sees the record epochs alone.
+    order-dependent step sees the record epochs alone. A run of any length is spread over
+    tasks by position.
     """
     scored = best_so_far(epochs.where(F.col(score).isNotNull()), score, mode, run, rows)
     if min_delta > 0:
-        scored = _accepted_only(scored, score, min_delta, mode, run)
+        scored = _accepted_only(settle(scored), score, min_delta, mode, run, rows)
     numbered = carry(scored, {"_seen": ("sum", F.lit(1).cast("long"))}, [run], "epoch", rows)
     last = F.when(F.col("improved"), F.col("_seen"))
     numbered = carry(numbered, {"_good": ("last", last)}, [run], "epoch", rows)
@@ -86,28 +88,35 @@ def early_stop(
     return numbered.groupBy(run).agg(F.min(F.when(waited >= patience, F.col("epoch"))).alias("stop_epoch"))
 
 
-def _accepted_only(scored: DataFrame, score: str, min_delta: float, mode: str, run: str) -> DataFrame:
+def _accepted_only(
+    scored: DataFrame, score: str, min_delta: float, mode: str, run: str, rows: int
+) -> DataFrame:
     """Narrow ``improved`` to epochs that beat the last accepted score by more than the margin."""
-    sign = _sign(mode)
-    records = scored.where("improved").select(run, "epoch", (F.col(score) * sign).alias("_s"))
-    ordered = F.array_sort(F.collect_list(F.struct("epoch", "_s")))
-    start = F.struct(
-        F.lit(None).cast("double").alias("best"),
-        F.array().cast("array<bigint>").alias("epochs"),
-    )
-
-    def step(state: Column, item: Column) -> Column:
-        take = state["best"].isNull() | (item["_s"] > state["best"] + F.lit(min_delta))
-        return F.struct(
-            F.when(take, item["_s"].cast("double")).otherwise(state["best"]).alias("best"),
-            F.when(take, F.array_append(state["epochs"], item["epoch"].cast("long")))
-            .otherwise(state["epochs"])
-            .alias("epochs"),
-        )
-
-    accepted = records.groupBy(run).agg(
-        F.aggregate(ordered, start, step, lambda s: s["epochs"]).alias("_epochs")
-    ).select(run, F.explode("_epochs").alias("epoch"), F.lit(True).alias("_ok"))
+    records = scored.where("improved").select(run, "epoch", (F.col(score) * _sign(mode)).cast("double").alias("_s"))
+    accepted = _accepted(settle(records), min_delta, run, rows).withColumn("_ok", F.lit(True))
     return scored.join(accepted, [run, "epoch"], "left").withColumn(
         "improved", F.coalesce("_ok", F.lit(False))
     ).drop("_ok")
+
+
+def _accepted(records: DataFrame, min_delta: float, run: str, rows: int) -> DataFrame:
+    """Epochs of the chain that starts at the first record and goes on to the next one above the margin.
+
+    Records rise with their epoch, so the next epoch above ``score + min_delta`` is the
+    nearest record above that value: both kinds of value are put in one falling order (a record
+    equal to the value comes after it, as it does not beat the margin). The chain is
+    followed by jumps that double in length, so a run with n accepted epochs takes log n joins.
+    """
+    wanted = records.select(run, "epoch", (F.col("_s") + F.lit(float(min_delta))).alias("_v"), F.lit(1).alias("_query"))
+    points = records.select(run, "epoch", F.col("_s").alias("_v"), F.lit(0).alias("_query")).unionByName(wanted)
+    placed = rank_all(points, [run, F.desc("_v"), F.desc("_query")], "_at")
+    above = F.when(F.col("_query") == 0, F.col("epoch"))
+    jumps = carry(placed, {"_next": ("last", above)}, [run], "_at", rows)
+    jumps = settle(jumps.where("_query = 1 AND _next IS NOT NULL").select(run, "epoch", "_next"))
+    reached = records.groupBy(run).agg(F.min("epoch").alias("epoch"))
+    while not jumps.isEmpty():
+        further = reached.join(jumps, [run, "epoch"]).select(run, F.col("_next").alias("epoch"))
+        reached = settle(reached.unionByName(further))
+        onward = jumps.select(run, F.col("epoch").alias("_next"), F.col("_next").alias("_far"))
+        jumps = settle(jumps.join(onward, [run, "_next"]).select(run, "epoch", F.col("_far").alias("_next")))
+    return reached

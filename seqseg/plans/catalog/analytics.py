@@ -160,6 +160,14 @@ def early_stop(spark, sf):
     return rl.early_stop(_scored(spark, sf), "score", 3)
 
 
+def early_stop_margin(spark, sf):
+    """Every event is an epoch of its type; an improvement beats the last one by more than 5."""
+    epochs = ad.table(spark, sf, "events").select(
+        F.col("event_type").alias("run_id"), F.col("event_id").cast("long").alias("epoch"), F.col("value").alias("score")
+    )
+    return rl.early_stop(epochs, "score", 400, "max", 5.0)
+
+
 def monitored_metric(spark, sf):
     """Metric lookup over maps that hold it only sometimes."""
     rows = ad.table(spark, sf, "orders").select(
@@ -210,6 +218,7 @@ QUERIES = {
     "top_epochs": top_epochs,
     "best_so_far": best_so_far,
     "early_stop": early_stop,
+    "early_stop_margin": early_stop_margin,
     "monitored_metric": monitored_metric,
     "label_changes": label_changes,
     "rolling_clip": rolling_clip,
@@ -299,6 +308,16 @@ FROM ep""",
         "b AS (SELECT *, i - max(CASE WHEN better THEN i END) OVER (PARTITION BY run_id ORDER BY epoch) AS waited FROM a)",
     )
     + "SELECT run_id, min(CASE WHEN waited >= 3 THEN epoch END) AS stop_epoch FROM b GROUP BY 1",
+    "early_stop_margin": """WITH RECURSIVE ep AS (SELECT event_type AS run_id, event_id AS epoch, value AS score FROM events WHERE value IS NOT NULL),
+acc(run_id, epoch, score) AS (
+  SELECT run_id, min(epoch), arg_min(score, epoch) FROM ep GROUP BY 1
+  UNION ALL
+  SELECT e.run_id, min(e.epoch), arg_min(e.score, e.epoch) FROM acc a JOIN ep e
+    ON e.run_id = a.run_id AND e.epoch > a.epoch AND e.score > a.score + 5 GROUP BY e.run_id),
+i AS (SELECT run_id, epoch, row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS i FROM ep),
+w AS (SELECT i.run_id, i.epoch, i - max(CASE WHEN acc.epoch IS NOT NULL THEN i END) OVER (PARTITION BY i.run_id ORDER BY i.epoch) AS waited
+  FROM i LEFT JOIN acc ON acc.run_id = i.run_id AND acc.epoch = i.epoch)
+SELECT run_id, min(CASE WHEN waited >= 400 THEN epoch END)::BIGINT AS stop_epoch FROM w GROUP BY 1""",
     "monitored_metric": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice
   WHEN o_orderpriority > '3' THEN o_totalprice * 2 ELSE -1.0 END AS score FROM orders""",
     "label_changes": with_(EV)

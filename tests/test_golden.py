@@ -540,6 +540,16 @@ def test_early_stop(spark, delta):
         assert {r["run_id"]: r["stop_epoch"] for r in found.collect()} == expected
 
 
+def test_accepted_records_of_one_long_run(spark):
+    """Steps of 1, margin 2.5: every third record is accepted, found by few doubling jumps in small buckets."""
+    n = 3_000
+    table = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("epoch"), F.col("id").cast("double").alias("_s"))
+    found = rl._accepted(table, 2.5, "run_id", 100)
+    assert sorted(r["epoch"] for r in found.collect()) == list(range(0, n, 3))
+    ties = rl._accepted(table, 2.0, "run_id", 100)
+    assert sorted(r["epoch"] for r in ties.collect()) == list(range(0, n, 3))
+
+
 def test_selection(spark):
     assert sl.broadcast_cameras(["a"], 3) == ["a"] * 3 and sl.broadcast_cameras(["a", "b"], 2) == ["a", "b"]
     with pytest.raises(ValueError):
