@@ -8,6 +8,7 @@ Layout: ``meta/info.json``, ``meta/episodes.jsonl``, ``meta/tasks.jsonl``,
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -106,6 +107,11 @@ def read_action_text(spark: SparkSession, path: str, dataset: str | None = None)
     return ids if dataset is None else ids.withColumn("dataset", F.lit(dataset))
 
 
+def episode_path(episode: int, template: str = DATA_PATH, chunk_size: int = DEFAULT_CHUNK) -> str:
+    """Path of an episode's file below the dataset folder."""
+    return template.format(episode_chunk=episode // chunk_size, episode_index=episode)
+
+
 def episode_pattern(template: str = DATA_PATH) -> str:
     """Regular expression for the episode number in a path made from ``template``."""
     parts = re.split(r"(\{[^}]*\})", template)
@@ -122,17 +128,24 @@ def read_frames(
     order: str | None = None,
     schema: str | None = None,
     pattern: str = r"episode[_=](\d+)",
+    episodes: Sequence[int] | None = None,
+    template: str = DATA_PATH,
+    chunk_size: int = DEFAULT_CHUNK,
 ) -> DataFrame:
     """Frames of all episodes of a dataset in one scan.
 
     The episode comes from the file path. The frame position is the ``order`` column
     if given, else an existing ``frame_index``, else the row position in the file. A
     column that only some files have is null in the others. Give ``schema`` for large
-    datasets, which saves reading all footers first.
+    datasets, which saves reading all footers first. With ``episodes`` only the files that
+    ``template`` names for them are listed and opened; one that is absent fails.
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
+    reader = spark.read if episodes is not None else spark.read.option("recursiveFileLookup", "true")
     reader = reader.schema(schema) if schema else reader.option("mergeSchema", "true")
-    scan = reader.parquet(f"{root}/data")
+    named = [f"{root}/{episode_path(e, template, chunk_size)}" for e in sorted(set(episodes or []))]
+    if episodes is not None and not named:
+        raise ValueError("episodes is empty")
+    scan = reader.parquet(*(named or [f"{root}/data"]))
     position = order or (FRAME if FRAME in scan.columns else None)
     place = F.col(position) if position else F.col("_metadata.row_index")
     # Path templates number files per episode; the last match is the file itself.
