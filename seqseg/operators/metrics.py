@@ -199,7 +199,9 @@ def best_matches(
         "pred": F.when(at_home, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))),
         "gt": F.when(at_home, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1))),
     }
-    pairs = side("pred", "p", tags["pred"]).join(side("gt", "g", tags["gt"]), [*keys, "label", "_level", "_cell", "_tag"])
+    # Both sides are spread from files, of which Spark knows the compressed size only: never broadcast them.
+    on = [*keys, "label", "_level", "_cell", "_tag"]
+    pairs = side("pred", "p", tags["pred"]).join(side("gt", "g", tags["gt"]).hint("merge"), on)
     begin = F.greatest("p_start", "g_start")
     shared = F.least("p_end", "g_end") - begin
     hull = F.greatest("p_end", "g_end") - F.least("p_start", "g_start")

@@ -14,6 +14,7 @@ from seqseg.plans import adapters as ad
 from seqseg.plans.boundary_data import boundary_rows
 from seqseg.plans.evaluate import evaluate_scores
 from seqseg.plans.labelling import label_segments, relabel_dataset
+from seqseg.session import settle
 
 SF = "/root/testdata/sf0.001"
 
@@ -171,6 +172,18 @@ def test_report_is_the_same_for_any_bucket_size(spark):
     assert tuple(small) == pytest.approx(tuple(mt.segmentation_report(table).first()))
 
 
+def settled_segments(spark):
+    """Runs of both sides in files: Spark knows no more of them than their compressed size, here a few kilobytes."""
+    schema = "dataset string, episode_index bigint, frame_index bigint, gt bigint, pred bigint"
+    table = spark.createDataFrame([("d", e, t, t // 5, t // 7) for e in range(4) for t in range(30)], schema)
+    return settle(mt.paired_runs(table))
+
+
+def test_matching_never_broadcasts_segments(spark):
+    shape = tree(mt.best_matches(settled_segments(spark)))
+    assert "SortMergeJoin" in shape and "BroadcastExchange" not in shape
+
+
 def test_every_demonstration_has_weights_or_is_listed_as_too_short(spark, tmp_path):
     from seqseg.plans.catalog import all_queries
 
