@@ -34,6 +34,12 @@ def softmax(logits: Column) -> Column:
     return F.transform(log_softmax(logits), F.exp)
 
 
+def log(value: Column) -> Column:
+    """Natural logarithm of a double by IEEE rules, as in NumPy: -inf of zero, NaN below zero (Spark's own is null there)."""
+    outside = F.when(value == 0, F.lit(float("-inf"))).when(value < 0, F.lit(float("nan")))
+    return outside.otherwise(F.log(value))
+
+
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 

@@ -40,3 +40,33 @@ def test_query(spark, database, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
     assert canonical(rows, df.columns) == canonical(result.fetchall(), names)
+
+
+@pytest.fixture(scope="module")
+def zeros(tmp_path_factory):
+    """Events of which two users have values of zero, and the database over them."""
+    import duckdb
+
+    folder, con = tmp_path_factory.mktemp("zeros"), duckdb.connect()
+    value = "CASE WHEN user_id IN (1, 2) AND event_id % 5 = 0 THEN 0 ELSE value END"
+    con.execute(f"COPY (SELECT * REPLACE ({value} AS value) FROM '{SF}/events.parquet') TO '{folder}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["score_bce", "score_smooth"])
+def test_logits_of_zero(spark, zeros, name):
+    folder, con = zeros
+    result = con.execute(all_oracles()[name])
+    df = all_queries()[name](spark, folder)
+    expected = canonical(result.fetchall(), [d[0] for d in result.description])
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == expected
+    assert any("nan" in row for row in expected) == (name != "score_smooth")
+
+
+def test_logarithm_by_ieee_rules(spark):
+    from seqseg.functions import vectors as vx
+
+    df = spark.createDataFrame([(0.0,), (-0.0,), (-1.0,), (1.0,), (None,)], "v double")
+    found = [str(r[0]) for r in df.select(vx.log(df["v"])).collect()]
+    assert found == ["-inf", "-inf", "nan", "0.0", "None"]
