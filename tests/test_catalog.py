@@ -54,7 +54,7 @@ def zeros(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["score_bce", "score_smooth"])
+@pytest.mark.parametrize("name", ["score_bce", "score_boundary_composite", "score_smooth"])
 def test_logits_of_zero(spark, zeros, name):
     folder, con = zeros
     result = con.execute(all_oracles()[name])
