@@ -104,7 +104,8 @@ def edit_scores(
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_label")) - 1
     symbols = labels.select(*[F.col(k).alias(f"_{k}") for k in keys], "_label", symbol(place).alias("_symbol"))
     same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.col("label").eqNullSafe(F.col("_label")))
-    marked = segments.join(symbols, same).withColumn(
+    # Spark knows only the compressed size of segments in files: never broadcast them.
+    marked = segments.join(symbols.hint("merge"), same).withColumn(
         "_symbol", F.when(_foreground(background), F.col("_symbol")).otherwise(F.lit(""))
     )
     pieces = marked.groupBy(

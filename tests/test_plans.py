@@ -184,6 +184,11 @@ def test_matching_never_broadcasts_segments(spark):
     assert "SortMergeJoin" in shape and "BroadcastExchange" not in shape
 
 
+def test_edit_distance_never_broadcasts_segments(spark):
+    shape = tree(mt.edit_scores(settled_segments(spark)))
+    assert "SortMergeJoin" in shape and "BroadcastExchange" not in shape
+
+
 def test_every_demonstration_has_weights_or_is_listed_as_too_short(spark, tmp_path):
     from seqseg.plans.catalog import all_queries
 
