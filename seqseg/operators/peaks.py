@@ -35,6 +35,9 @@ from seqseg.operators.ordered import (
 )
 from seqseg.operators.runs import runs
 
+# Levels of the pyramid with more blocks than this are joined by sorting, others are sent to all tasks.
+SENT_BLOCKS = 4096
+
 
 def value_runs(
     frames: DataFrame, value: str = "p", keys: Sequence[str] = KEYS, order: str = FRAME, rows: int = BUCKET_ROWS
@@ -158,8 +161,8 @@ def prominences(
     top = blocks.agg(F.max("_block")).first()[0]
     heights = F.transform("items", lambda x: x["height"])
     levels = [blocks.select(*keys, "_block", heights.alias("hi"), heights.alias("lo"))]
-    while top:
-        levels.append(_coarser(levels[-1], keys, fan_in))
+    while top:  # each level is written once; as a plan it would compute all levels below again wherever it is met
+        levels.append(settle(_coarser(levels[-1], keys, fan_in)))
         top //= fan_in
     tops = blocks.select(*keys, "_block", heights.alias("hi"), heights.alias("lo"), F.posexplode("items").alias("_pos", "i"))
     tops = tops.where("i.is_peak").select(*keys, "_block", "hi", "lo", "_pos", "i.peak", "i.height", "i.length")
@@ -174,6 +177,8 @@ def prominences(
 
     if len(levels) == 1:
         return result(tops, F.greatest("_left_low", "_right_low"))
+    # Few blocks go to the scans that meet in them; of many, Spark knows only the compressed size of their files.
+    levels = [level.hint("merge" if level.count() > SENT_BLOCKS else "broadcast") for level in levels]
     tops = settle(tops)
     inside = F.col("_left_at").isNotNull() & F.col("_right_at").isNotNull()
     near = result(tops.where(inside), F.greatest("_left_low", "_right_low"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from conftest import KEYS, rows_of
-from seqseg.operators import metrics as mt, ordered as od, runs as rn, transitions as tr
+from seqseg.operators import metrics as mt, ordered as od, peaks as pk, runs as rn, transitions as tr
 from seqseg.plans import adapters as ad
 from seqseg.plans.boundary_data import boundary_rows
 from seqseg.plans.evaluate import evaluate_scores
@@ -189,6 +189,19 @@ def test_edit_distance_never_broadcasts_segments(spark):
     assert "SortMergeJoin" in shape and "BroadcastExchange" not in shape
 
 
+def test_pyramid_levels_are_written_once(spark, frames, monkeypatch):
+    """The last plan reads each level from its files: nothing in it builds a level again."""
+    table = frames({0: [(i * 37) % 101 / 100 for i in range(600)]}, "p", "double")
+    curve = settle(pk.value_runs(table, rows=64))
+    expected = rows_of(pk.prominences(curve, "p", fan_in=64), "peak", "height", "prominence")
+    for sent in (4096, 0):
+        monkeypatch.setattr(pk, "SENT_BLOCKS", sent, raising=False)
+        found = pk.prominences(curve, "p", fan_in=4)
+        assert "collect_list" not in physical(found)
+        assert rows_of(found, "peak", "height", "prominence") == expected
+    assert "BroadcastExchange" not in tree(found)
+
+
 def test_every_demonstration_has_weights_or_is_listed_as_too_short(spark, tmp_path):
     from seqseg.plans.catalog import all_queries
 
