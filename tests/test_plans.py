@@ -189,6 +189,13 @@ def test_edit_distance_never_broadcasts_segments(spark):
     assert "SortMergeJoin" in shape and "BroadcastExchange" not in shape
 
 
+def test_report_joins_segments_by_sorting(spark):
+    schema = "dataset string, episode_index bigint, frame_index bigint, gt bigint, pred bigint"
+    table = spark.createDataFrame([("d", e, t, t // 5, t // 7) for e in range(4) for t in range(30)], schema)
+    shape = tree(mt.segmentation_report(table))
+    assert shape.count("SortMergeJoin Inner") == 2
+
+
 def test_pyramid_levels_are_written_once(spark, frames, monkeypatch):
     """The last plan reads each level from its files: nothing in it builds a level again."""
     table = frames({0: [(i * 37) % 101 / 100 for i in range(600)]}, "p", "double")
