@@ -100,7 +100,8 @@ def rank_rows(
     offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     if total:
         offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*whole)))
-    joined = numbered.join(offsets.drop("_n"), part)
+    # Spark plans this join from the compressed size of the source files: never broadcast the groups.
+    joined = numbered.join(offsets.drop("_n").hint("merge"), part)
     joined = joined.withColumn(out, (F.col("_before") + F.col("_rn") - 1).cast("long"))
     return joined.drop(*part, "_rn", "_before")
 

@@ -196,6 +196,15 @@ def test_report_joins_segments_by_sorting(spark):
     assert shape.count("SortMergeJoin Inner") == 2
 
 
+def test_ranking_never_broadcasts_its_groups(spark):
+    """There is a group for nearly every row, and Spark knows only the compressed size of the files."""
+    from seqseg.plans.catalog.scoring import ev_pred
+
+    for frames in (ad.ev_frames, ad.li_frames, ev_pred):
+        shape = tree(frames(spark, SF))
+        assert "SortMergeJoin Inner" in shape and "BroadcastExchange" not in shape
+
+
 def test_pyramid_levels_are_written_once(spark, frames, monkeypatch):
     """The last plan reads each level from its files: nothing in it builds a level again."""
     table = frames({0: [(i * 37) % 101 / 100 for i in range(600)]}, "p", "double")
