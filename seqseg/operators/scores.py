@@ -151,10 +151,17 @@ def boundary_smoothness(
     order: str = FRAME,
     rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Truncated squared change of the boundary probability."""
-    paired = _pairs(scores, vectors.sigmoid(F.col(logit)), mask, keys, order, rows)
-    change = F.pow(F.least(F.abs(F.col("_value") - F.col("_before")), F.lit(tau)), F.lit(2.0))
-    return _aggregate(paired, by, _mean(F.sum(change), F.count(F.lit(1))).alias("smooth"))
+    """Truncated squared change of the boundary probability.
+
+    Pairs with a missing logit count too; only first frames have no pair. Probabilities
+    differ by 1 at most, so a larger ``tau`` cuts nothing, and a change of NaN or null stays one.
+    """
+    value = F.struct(vectors.sigmoid(F.col(logit)).alias("p"))
+    paired = _pairs(scores, value, mask, keys, order, rows)
+    change = F.abs(F.col("_value.p") - F.col("_before.p"))
+    if tau < 1:
+        change = F.least(change, F.lit(tau))
+    return _aggregate(paired, by, _mean(F.sum(F.pow(change, F.lit(2.0))), F.count(F.lit(1))).alias("smooth"))
 
 
 def _summed(parts: Sequence[DataFrame], weights: dict[str, float], stage: str) -> DataFrame:

@@ -64,6 +64,28 @@ def test_logits_of_zero(spark, zeros, name):
     assert any("nan" in row for row in expected) == (name != "score_smooth")
 
 
+ODD = {
+    "no label": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type",
+    "no value": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value",
+    "nan": "CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE ELSE value END AS value",
+    "below zero": "CASE WHEN event_id % 97 = 0 THEN -1.0 ELSE value END AS value",
+}
+
+
+@pytest.mark.parametrize("kind", ODD)
+def test_boundary_scores_of_odd_events(spark, tmp_path, kind):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE ({ODD[kind]}) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("score_boundary_composite", "score_smooth", "score_bce"):
+        result = con.execute(all_oracles()[name])
+        df = all_queries()[name](spark, str(tmp_path))
+        expected = canonical(result.fetchall(), [d[0] for d in result.description])
+        assert canonical([tuple(r) for r in df.collect()], df.columns) == expected
+
+
 def test_logarithm_by_ieee_rules(spark):
     from seqseg.functions import vectors as vx
 
